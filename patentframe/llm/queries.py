@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from . import bpe, packing, wavelet
+from . import bpe, media, packing, quality, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"), C.new_dir(spark, "media"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate(_table(spark, sf_dir, "pages"), C.new_dir(spark, "warc"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op3_byte_bpe, op5_best_fit_packing)
+    f.__name__: f for f in (op1_wavelet_shards, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op8_warc_revisits, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
