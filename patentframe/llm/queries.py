@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from . import bpe, media, packing, quality, warc, wavelet
+from . import bpe, media, packing, quality, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"), C.new_dir(spark, "media"))
 
 
+def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicate(_table(spark, sf_dir, "pages"), C.new_dir(spark, "warc"))
 
@@ -42,7 +46,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op8_warc_revisits, op9_quality_classifier)
+    f.__name__: f for f in (op1_wavelet_shards, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
