@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from . import bpe, media, packing, quality, simhash, warc, wavelet
+from . import bpe, fingerprint, media, packing, quality, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(spark, manifest)
 
 
+def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -46,7 +50,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier)
+    f.__name__: f for f in (op1_wavelet_shards, op2_iblt_fingerprints, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
