@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from . import bpe, fingerprint, media, packing, quality, simhash, warc, wavelet
+from . import bpe, fingerprint, media, packing, quality, secrets, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op2_iblt_fingerprints, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier)
+    f.__name__: f for f in (op1_wavelet_shards, op2_iblt_fingerprints, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
