@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .pretokens import encoder
+from .pretokens import encoder, groups
 
 #: A bin pattern: so many bins, each with these (length, how many) in order.
 Pattern = tuple[int, list[tuple[int, int]]]
@@ -152,8 +152,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: in
         part, enc, seen, end = TaskContext.get().partitionId(), encoder(tokenizer), Counter(), np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([enc.encode(text.as_py()), end]).astype("<u4")
+            encoded = (ids for texts in groups(batch.column(1)) for ids in enc.encode(texts))
+            for i, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids = np.concatenate([ids, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     rows.append((i, piece, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)]))

@@ -7,6 +7,7 @@ batches. Texts with characters beyond Latin or odd white space go to the library
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -21,6 +22,16 @@ BYTE_LEVEL = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?
 WORD_END = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
+def _printable() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 onward in turn."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+PRINTABLE = _printable()
+
+
 class Codes(dict):
     """Numbers new keys as they are first looked up and keeps them in ``pending``."""
 
@@ -42,14 +53,18 @@ class Ragged:
 
     def add(self, rows: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        total = int(lengths.sum())
+        self.extend(np.fromiter(itertools.chain.from_iterable(rows), np.uint32, int(lengths.sum())), lengths)
+
+    def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Rows of these lengths, end to end."""
+        n, total = len(lengths), len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.n + len(rows) + 1 > len(self.ends):
+        while self.n + n + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for r in rows for x in r), np.uint32, total)
-        self.ends[self.n + 1 : self.n + 1 + len(rows)] = self.used + np.cumsum(lengths)
-        self.n += len(rows)
+        self.flat[self.used : self.used + total] = flat
+        self.ends[self.n + 1 : self.n + 1 + n] = self.used + np.cumsum(lengths)
+        self.n += n
         self.used += total
 
     def take(self, codes: np.ndarray) -> np.ndarray:
@@ -61,12 +76,12 @@ class Ragged:
 
 
 class TextEncoder:
-    """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` as uint32.
+    """``encode(texts)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` of each as uint32.
 
     Special tokens' strings in a text are ordinary text. The memo restarts at ``most`` pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -76,19 +91,41 @@ class TextEncoder:
         self.pattern = WORD_END if self.lower else BYTE_LEVEL
         self.alone = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
         self.most = most
+        self.model = self.alone.model
         self.codes, self.rows = Codes(), Ragged()
 
-    def encode(self, text: str) -> np.ndarray:
-        if ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _miss(self, pending: list[str]) -> None:
+        """Ids of new pre-tokens, by the library's model alone: its input is the bytes as printable characters."""
+        spelled = [x.encode().decode("latin-1").translate(PRINTABLE) for x in pending]
+        self.rows.add([[t.id for t in self.model.tokenize(x)] for x in spelled])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.most:
             self.codes, self.rows = Codes(), Ragged()
-        found = self.pattern.findall(text.lower() if self.lower else text)
-        codes = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
+        codes: list[np.ndarray | None] = []
+        for text in texts:
+            if ODD.search(text):
+                codes.append(None)
+                continue
+            found = self.pattern.findall(text.lower() if self.lower else text)
+            codes.append(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)))
         if self.codes.pending:
-            self.rows.add([e.ids for e in self.alone.encode_batch_fast(self.codes.pending, add_special_tokens=False)])
+            self._miss(self.codes.pending)
             self.codes.pending = []
-        return self.rows.take(codes)
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) if c is None else self.rows.take(c) for t, c in zip(texts, codes)]
+
+
+def groups(column, most: int = 64, chars: int = 1 << 20):
+    """Texts of an Arrow column in lists of at most ``most``, or fewer with about ``chars`` characters."""
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py())
+        size += len(held[-1])
+        if len(held) == most or size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

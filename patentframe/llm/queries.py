@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from . import bpe, fingerprint, media, packing, quality, secrets, simhash, warc, wavelet
+from . import bpe, fingerprint, linededup, media, packing, quality, secrets, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_runs(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op2_iblt_fingerprints, op3_byte_bpe, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier, op10_secret_scan)
+    f.__name__: f for f in (op1_wavelet_shards, op2_iblt_fingerprints, op3_byte_bpe, op4_line_runs, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}

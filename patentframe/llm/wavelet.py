@@ -1,7 +1,7 @@
 """Operator 1: token ids in wavelet-matrix shards.
 
-A shard is one file: a header, the documents' ids and starts, and one zstd-compressed bit-plane for each bit of the
-largest token. Rank over the planes answers access, counting and occurrence lookup without expanding the shard.
+A shard is one file: a header, the documents' ids and starts, its tokens by falling frequency, and one zstd-compressed
+bit-plane for each bit of a token's place among those. Rank over the planes answers access, counting and occurrence lookup without expanding the shard.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _common as C
-from .pretokens import encoder
+from .pretokens import encoder, groups
 
 MAGIC = b"PFWM0001"
 
@@ -59,6 +59,8 @@ class WaveletMatrix:
         self.n, self.zeros, self._parts = head["n"], head["zeros"], head["parts"]
         self.levels = len(self.zeros)
         self._planes: dict[int, BitPlane] = {}
+        self.alphabet = np.frombuffer(self._part(3), "<u4")
+        self._place = {t: k for k, t in enumerate(self.alphabet.tolist())}
 
     def _part(self, k: int) -> bytes:
         start, end = self._parts[k]
@@ -71,27 +73,28 @@ class WaveletMatrix:
 
     def plane(self, level: int) -> BitPlane:
         if level not in self._planes:
-            self._planes[level] = BitPlane(self._part(3 + level), self.n)
+            self._planes[level] = BitPlane(self._part(4 + level), self.n)
         return self._planes[level]
 
     def access(self, i: int) -> int:
         """The token at ``i``."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        token = 0
+        place = 0
         for level in range(self.levels):
             p = self.plane(level)
             bit, ones = int(p.get(i)), int(p.rank1(i))
-            token = token << 1 | bit
+            place = place << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
-        return token
+        return int(self.alphabet[place])
 
     def _range(self, token: int, start: int, end: int) -> tuple[int, int]:
-        if token >> self.levels:
+        place = self._place.get(token)
+        if place is None:
             return 0, 0
         for level in range(self.levels):
             ones_start, ones_end = map(int, self.plane(level).rank1([start, end]))
-            if token >> (self.levels - 1 - level) & 1:
+            if place >> (self.levels - 1 - level) & 1:
                 start, end = self.zeros[level] + ones_start, self.zeros[level] + ones_end
             else:
                 start, end = start - ones_start, end - ones_end
@@ -105,10 +108,10 @@ class WaveletMatrix:
     def occurrences(self, token: int) -> np.ndarray:
         """All positions of ``token``, ascending: its range at the bottom is carried up again by select."""
         a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b)
+        place, at = self._place.get(token, 0), np.arange(a, b)
         for level in reversed(range(self.levels)):
             bits = self.plane(level).bits()
-            if token >> (self.levels - 1 - level) & 1:
+            if place >> (self.levels - 1 - level) & 1:
                 at = np.flatnonzero(bits)[at - self.zeros[level]]
             else:
                 at = np.flatnonzero(~bits)[at]
@@ -116,36 +119,40 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the stable partitions are undone from the lowest plane up."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in reversed(range(self.levels)):
             bits, zeros = self.plane(level).bits(), self.zeros[level]
-            up = np.empty(self.n, np.uint32)
-            up[~bits] = values[:zeros]
-            up[bits] = values[zeros:] | np.uint32(1 << (self.levels - 1 - level))
+            up = np.empty_like(values)
+            up[np.flatnonzero(~bits)] = values[:zeros]
+            up[np.flatnonzero(bits)] = values[zeros:] | values.dtype.type(1 << (self.levels - 1 - level))
             values = up
-        return values
+        return self.alphabet[values]
 
 
 def build_shard(doc_ids: list[int | None], rows: list[np.ndarray]) -> bytes:
     """One shard of documents' token ids."""
     tokens = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    most = int(tokens.max()) if len(tokens) else 0
-    values = tokens.astype(np.uint16 if most < 1 << 16 else np.uint32)
-    levels = max(1, most.bit_length())
+    counts = np.bincount(tokens)
+    alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    levels = max(1, (len(alphabet) - 1).bit_length())
+    place = np.zeros(len(counts), np.uint16 if levels <= 16 else np.uint32)
+    place[alphabet] = np.arange(len(alphabet))
+    values = place[tokens]
     squeeze = zstandard.ZstdCompressor(level=1).compress
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
     parts = [
         squeeze(np.array([x or 0 for x in doc_ids], "<i8").tobytes()),
         squeeze(np.array([x is None for x in doc_ids], np.uint8).tobytes()),
         squeeze(starts.astype("<i8").tobytes()),
+        squeeze(alphabet.astype("<u4").tobytes()),
     ]
     zeros = []
     for level in range(levels):
-        bits = (values >> (levels - 1 - level) & 1).astype(bool)
+        bits = (values & values.dtype.type(1 << (levels - 1 - level))) != 0
         parts.append(squeeze(np.packbits(bits, bitorder="little").tobytes()))
-        low = values[~bits]
+        low = values[np.flatnonzero(~bits)]  # much quicker than values[~bits]
         zeros.append(len(low))
-        values = np.concatenate([low, values[bits]])
+        values = np.concatenate([low, values[np.flatnonzero(bits)]])
     ends = np.cumsum([len(p) for p in parts]).tolist()
     head = json.dumps({"n": len(tokens), "zeros": zeros, "parts": list(zip([0, *ends], ends))}).encode()
     return MAGIC + struct.pack("<Q", len(head)) + head + b"".join(parts)
@@ -186,8 +193,9 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
             return out
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = np.concatenate([enc.encode(text.as_py()), end])
+            encoded = (row for texts in groups(batch.column(1)) for row in enc.encode(texts))
+            for i, row in zip(batch.column(0).to_pylist(), encoded):
+                row = np.concatenate([row, end])
                 ids.append(i)
                 rows.append(row)
                 held += len(row)
