@@ -18,8 +18,9 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
 SPACES = "\t\n\r \xa0"
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
-BYTE_LEVEL = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-WORD_END = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+# the tokenizers' patterns for those; words come first here, as no other alternative can begin where they do
+BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+WORD_END = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
 def _printable() -> dict[int, str]:
@@ -67,6 +68,11 @@ class Ragged:
         self.n += n
         self.used += total
 
+    def take_all(self, codes: np.ndarray, parts: list[int]) -> tuple[np.ndarray, list[int]]:
+        """The rows of codes end to end, and where the rows of each part, so many codes long, end."""
+        lengths = np.concatenate([[0], np.cumsum(self.ends[codes + 1] - self.ends[codes])])
+        return self.take(codes), lengths[np.cumsum(parts)].tolist()
+
     def take(self, codes: np.ndarray) -> np.ndarray:
         starts = self.ends[codes]
         lengths = self.ends[codes + 1] - starts
@@ -78,41 +84,73 @@ class Ragged:
 class TextEncoder:
     """``encode(texts)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` of each as uint32.
 
-    Special tokens' strings in a text are ordinary text. The memo restarts at ``most`` pre-tokens.
+    Special tokens' strings in a text are ordinary text. The memo forgets at ``most`` pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path, self._whole = path, None
         self.lower = spec["normalizer"] is not None
         self.pattern = WORD_END if self.lower else BYTE_LEVEL
-        self.alone = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
         self.most = most
-        self.model = self.alone.model
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []})).model
+        self._clear()
+
+    def _clear(self) -> None:
         self.codes, self.rows = Codes(), Ragged()
+        self.again = np.zeros(2 * self.most + (1 << 20), bool)  # a group of texts may overrun the bound; more is grown
+
+    def _forget(self) -> None:
+        """Keep what was met again since the last time, unless that is most of the memo."""
+        kept = np.flatnonzero(self.again[: self.rows.n])
+        if len(kept) > self.most // 2:
+            self._clear()
+            return
+        keys, flags, rows = list(self.codes), self.again, self.rows
+        self._clear()
+        for key in (k for k, again in zip(keys, flags.tolist()) if again):
+            self.codes[key]
+        self.codes.pending = []
+        self.rows.extend(rows.take(kept), rows.ends[kept + 1] - rows.ends[kept])
 
     def _miss(self, pending: list[str]) -> None:
         """Ids of new pre-tokens, by the library's model alone: its input is the bytes as printable characters."""
         spelled = [x.encode().decode("latin-1").translate(PRINTABLE) for x in pending]
         self.rows.add([[t.id for t in self.model.tokenize(x)] for x in spelled])
 
+    def whole(self, text: str) -> np.ndarray:
+        """A text by the library alone."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.most:
-            self.codes, self.rows = Codes(), Ragged()
-        codes: list[np.ndarray | None] = []
-        for text in texts:
+            self._forget()
+        before = self.rows.n
+        codes: list[np.ndarray] = []
+        odd: dict[int, np.ndarray] = {}
+        for k, text in enumerate(texts):
             if ODD.search(text):
-                codes.append(None)
-                continue
-            found = self.pattern.findall(text.lower() if self.lower else text)
+                odd[k] = self.whole(text)
+                found = []
+            else:
+                found = self.pattern.findall(text.lower() if self.lower else text)
             codes.append(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)))
         if self.codes.pending:
             self._miss(self.codes.pending)
             self.codes.pending = []
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) if c is None else self.rows.take(c) for t, c in zip(texts, codes)]
+            if self.rows.n > len(self.again):
+                self.again = np.concatenate([self.again, np.zeros(self.rows.n, bool)])
+        every = np.concatenate(codes)
+        self.again[every[every < before]] = True
+        flat, ends = self.rows.take_all(every, [len(c) for c in codes])
+        return [odd[k] if k in odd else flat[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
 def groups(column, most: int = 64, chars: int = 1 << 20):

@@ -129,8 +129,9 @@ class WaveletMatrix:
         return self.alphabet[values]
 
 
-def build_shard(doc_ids: list[int | None], rows: list[np.ndarray]) -> bytes:
-    """One shard of documents' token ids."""
+def build_shard(doc_ids: list[int | None], rows: list[np.ndarray], lengths: list[int] | None = None) -> bytes:
+    """One shard of documents' token ids, one row each, or as many ids each as ``lengths`` say."""
+    lengths = [len(r) for r in rows] if lengths is None else lengths
     tokens = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
     counts = np.bincount(tokens)
     alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
@@ -139,7 +140,7 @@ def build_shard(doc_ids: list[int | None], rows: list[np.ndarray]) -> bytes:
     place[alphabet] = np.arange(len(alphabet))
     values = place[tokens]
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     parts = [
         squeeze(np.array([x or 0 for x in doc_ids], "<i8").tobytes()),
         squeeze(np.array([x is None for x in doc_ids], np.uint8).tobytes()),
@@ -168,7 +169,7 @@ MANIFEST = T.StructType([
 ])
 
 
-def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 22) -> DataFrame:
+def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 21) -> DataFrame:
     """Encode all texts and write shards in ascending id order; returns the manifest, a row for each shard.
 
     ``part``/``within``: the range partition, and the tokens of that partition before the shard. Null texts are empty
@@ -186,7 +187,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, done, held, ids, rows
-            path, data = f"{out_dir}/part-{part:06d}-{seq:06d}.wvm", build_shard(ids, rows)
+            path, data = f"{out_dir}/part-{part:06d}-{seq:06d}.wvm", build_shard(ids, rows, [len(r) + 1 for r in rows[::2]])
             C.write_file(path, data)
             out = pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "within": [done], "n_tokens": [held], "n_docs": [len(ids)], "bytes": [len(data)]})
             seq, done, held, ids, rows = seq + 1, done + held, 0, [], []
@@ -195,10 +196,9 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
         for batch in batches:
             encoded = (row for texts in groups(batch.column(1)) for row in enc.encode(texts))
             for i, row in zip(batch.column(0).to_pylist(), encoded):
-                row = np.concatenate([row, end])
                 ids.append(i)
-                rows.append(row)
-                held += len(row)
+                rows += [row, end]
+                held += len(row) + 1
                 if held >= shard_tokens:
                     yield flush()
         if ids:
