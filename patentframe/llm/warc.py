@@ -21,23 +21,28 @@ from . import _common as C
 #: Fixed value of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
+#: About 100 bytes each.
+BROADCAST_ROWS = 250_000
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """id, url, body, sha1 and ``original``: the id of the response that a row revisits, and ``revisit``.
 
     Null bodies are empty; null ids count as smaller than all others. Of repeated rows with the response's id, one is the
-    response and the others revisit it. Bodies below ``min_bytes`` are all responses. Bodies are shuffled once, by id;
-    only digests meet by digest, in a join whose heavy keys Spark can split.
+    response and the others revisit it. Bodies below ``min_bytes`` are all responses. Only ids and digests meet by digest,
+    in a join whose heavy keys Spark can split. The rows found to share a digest are broadcast to the bodies if they are
+    at most ``BROADCAST_ROWS``; else bodies are shuffled once, by id and digest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("sha1", F.sha1("body"))
-    headers = rows.where(F.octet_length("body") >= min_bytes).select("id", "sha1")
-    originals = headers.groupBy("sha1").agg(F.max("id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    found = headers.distinct().join(originals.drop("n"), "sha1").select(F.col("id").alias("id2"), F.col("sha1").alias("sha2"), "original")
-    both = rows.join(found, rows["id"].eqNullSafe(found["id2"]) & (rows["sha1"] == found["sha2"]), "left")
-    nth = F.row_number().over(Window.partitionBy("id", "sha1").orderBy("url"))
-    first = F.col("id").eqNullSafe(F.col("original")) & (nth == 1)
+    headers = rows.where(F.octet_length("body") >= min_bytes).groupBy("id", "sha1").agg(F.count("*").alias("same"))
+    originals = headers.groupBy("sha1").agg(F.max("id").alias("original"), F.sum("same").alias("n")).where("n > 1").drop("n")
+    found = C.stage_table(headers.join(originals, "sha1").select(F.col("id").alias("id2"), F.col("sha1").alias("sha2"), "original", "same"), "revisits")
+    size = found.agg(F.count("*").alias("n"), F.max("same").alias("same")).first()
+    both = rows.join(F.broadcast(found) if size["n"] <= BROADCAST_ROWS else found, rows["id"].eqNullSafe(F.col("id2")) & (rows["sha1"] == F.col("sha2")), "left")
+    first = F.col("id").eqNullSafe(F.col("original"))
+    if (size["same"] or 0) > 1:  # repeated rows have to meet, to tell one of them
+        first &= F.row_number().over(Window.partitionBy("id", "sha1").orderBy("url")) == 1
     return both.withColumn("revisit", F.col("sha2").isNotNull() & ~first).select("id", "url", "body", "original", "revisit")
 
 
