@@ -22,6 +22,8 @@ from .components import components
 SEED = 42
 #: Bins of the one-permutation sketch that stands for a text's set of shingles where a similarity is asked for.
 BINS = 256
+#: About one standard error of the estimate at a similarity of 0.8: a text that is just alike enough is not missed for it.
+TOLERANCE = 0.03
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -138,7 +140,7 @@ def compare(a: Tile, b: Tile, same: bool, radius: int, least: float | None) -> t
             if same:
                 i, j = i[i < j], j[i < j]
             if least is not None and len(i):
-                good = np.concatenate([likeness(a.sketch[i[k : k + 8192]], b.sketch[j[k : k + 8192]]) >= least for k in range(0, len(i), 8192)])
+                good = np.concatenate([likeness(a.sketch[i[k : k + 8192]], b.sketch[j[k : k + 8192]]) >= least - TOLERANCE for k in range(0, len(i), 8192)])
                 i, j = i[good], j[good]
             if len(i):
                 held.append((i, j + offset))
