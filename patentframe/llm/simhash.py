@@ -183,9 +183,10 @@ def links(marked: DataFrame, radius: int, least: float | None = None, tiles: int
     ordered = distinct.select("fp", "node", "sketch", ones.alias("ones"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("half"))
     ordered = ordered.repartitionByRange(n_tiles, "ones", "half", "fp", "node").sortWithinPartitions("ones", "half", "fp", "node").select("fp", "node", "sketch")
     table = C.stage_table(ordered.mapInArrow(cut, "path string, low int, high int"), "tiles-list")
-    wide = table.select("path", F.explode(F.sequence("low", F.col("high") + radius)).alias("k"))
-    other = table.select(F.col("path").alias("path2"), F.explode(F.sequence("low", F.col("high") + radius)).alias("k"))
-    pairs = wide.join(other, "k").where("path <= path2").select("path", "path2").distinct()
+    # a pair is met once, where the tile that begins later begins
+    begun = table.select("path", "low", F.explode(F.sequence("low", F.col("high") + radius)).alias("k"))
+    later = table.select(F.col("path").alias("path2"), F.col("low").alias("k"))
+    pairs = begun.join(later, "k").where("(low, path) <= (k, path2)").select("path", "path2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
