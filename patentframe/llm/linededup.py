@@ -47,7 +47,7 @@ def ranks(classes: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part), pa.int32()), pa.array(ends - n, pa.int64())], [*b.schema.names, "part", "local"])
             before = int(ends[-1]) if len(n) else before
 
-    ordered = classes.select(*keys, "n").repartitionByRange(C.partitions(spark), *keys).sortWithinPartitions(*keys)
+    ordered = classes.select(*keys, "n").repartitionByRange(*keys).sortWithinPartitions(*keys)  # small ones in few files
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", part int, local long"
     local = C.stage_table(ordered.mapInArrow(run, schema), "ranks")
     totals, bases, before = {r["part"]: r["n"] for r in local.groupBy("part").agg(F.sum("n").alias("n")).collect()}, [], 0
@@ -140,6 +140,7 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     found = C.stage_table(windows(suffix_ranks(lines_of(docs, id_col, text_col), min_words), min_words), "windows")
     me = F.struct(F.col("id"), F.col("hash"), F.col("pos"))
     firsts = found.groupBy("m", "a", "b").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = C.stage_table(firsts, "firsts")  # not grouped any more, so Spark can split the heavy keys of the join below
     other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")))
     copies = found.join(firsts, ["m", "a", "b"]).where(other | (F.col("pos") >= F.col("first.pos") + F.col("m")))
     return copies.groupBy(*KEY).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
