@@ -197,7 +197,9 @@ def _exchange_xml(spark, sf_dir):
     cite = text("<citation>", patcit, "<category>X</category><category> </category><rel-passage><category>Y", line, "</category></rel-passage></citation>")
     kind = F.when(line % 4 == 0, F.lit("epodoc")).otherwise(F.lit("docdb"))
     member = text("<family-member><publication-reference data-format=\"", kind, "\">", number, "</publication-reference></family-member>")
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.sort_array(F.collect_list(F.struct("l_linenumber", c.alias("x")))).alias(k) for k, c in {"cls": F.concat(cls, broken), "cite": cite, "member": member}.items()))
+    # by number, so that small shuffles aren't merged into few tasks: parsing costs far more than its bytes tell
+    lines = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    li = lines.groupBy("l_orderkey").agg(*(F.sort_array(F.collect_list(F.struct("l_linenumber", c.alias("x")))).alias(k) for k, c in {"cls": F.concat(cls, broken), "cite": cite, "member": member}.items()))
     all_of = lambda k: F.coalesce(F.array_join(F.transform(k, lambda s: s["x"]), ""), F.lit(""))
     o = F.col("o_orderkey")
     head = text("<exchange-document country=\"EP\" doc-number=\"", F.lpad((o % 100).cast("string"), 4, "0"), "\" kind=\"A1\"", F.when(o % 10 != 0, text(" status=\"", F.col("o_orderstatus"), "\"")).otherwise(F.lit("")), ">")
