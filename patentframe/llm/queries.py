@@ -61,4 +61,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_wavelet_shards, op2_iblt_fingerprints, op3_byte_bpe, op4_line_runs, op5_best_fit_packing, op6_media_shards, op7_simhash_tiles, op8_warc_revisits, op9_quality_classifier, op10_secret_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators' results hold library tokens, XXH64 or SHA-1 digests in base 32, sketches, images, places in bins,
+#: scores or offsets of matches, which DuckDB's SQL can't express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_runs": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at_ FROM documents),
+n AS (SELECT doc_id, at_, trim(x, ' ') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS pos, len(string_split_regex(trim(x, ' '), '\s+')) AS w FROM l WHERE trim(x, ' ') <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM n),
+pairs AS (SELECT a.doc_id, a.pos AS p, b.pos AS q FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.s - a.s + a.w >= 50),
+win AS (SELECT doc_id, p, min(q) AS q FROM pairs GROUP BY doc_id, p UNION SELECT doc_id, max(p) AS p, q FROM pairs GROUP BY doc_id, q),
+runs AS (SELECT win.doc_id, p, q, min(at_) AS low, max(at_) AS high, string_agg(x, chr(10) ORDER BY pos) AS k FROM win JOIN c ON c.doc_id = win.doc_id AND pos BETWEEN p AND q GROUP BY win.doc_id, p, q),
+firsts AS (SELECT *, min({'d': doc_id, 'p': p}) OVER (PARTITION BY k) AS f FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS at_ FROM firsts WHERE doc_id <> f.d OR p >= f.p + q - p + 1),
+g AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(at_ AS VARCHAR), ',' ORDER BY at_) AS removed FROM gone GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY at_) AS text FROM l ANTI JOIN gone USING (doc_id, at_) GROUP BY 1)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
