@@ -1,16 +1,43 @@
-"""Command line: extract, parse, import, chunk, config, queries."""
+"""Command line: run, download, extract, parse, import, chunk, config, queries, version."""
 
 from __future__ import annotations
 
 import argparse
-from dataclasses import fields
+from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config as settings
-from .operators import applications, chunking, documents, exchange
-from .sources import archive, readers
+from . import __version__
+from .operators import applications, catalog, chunking, documents, exchange
+from .sources import archive, download, readers
+
+
+def download_(spark: SparkSession, c: settings.Config) -> dict:
+    """Files of the products to ``files`` below the output, and what became of each as Parquet beside it."""
+    products = download.read_catalog_http(spark, c.base_url, [int(x) for x in c.products.split(",") if x.strip()], c.retries, c.timeout, c.parallel).cache()
+    missing = products.where("problem is not null").select(F.lit("catalog").alias("outcome"), "problem")
+    tasks = catalog.items(products, c.base_url, strict_compat=c.strict_compat)
+    got = download.download(tasks, f"{c.output}/files", c.skip_exists, c.verify_sha1, c.retries, c.timeout, c.parallel)
+    try:
+        return _written(got.unionByName(missing, allowMissingColumns=True), f"{c.output}/downloads", F.col("outcome").isin("ok", "skipped"))
+    finally:
+        products.unpersist()
+
+
+def run(spark: SparkSession, c: settings.Config) -> dict:
+    """Download, unpack and parse, each below the output, as far as there is something to do."""
+    got = {"download": download_(spark, c)}
+    if not got["download"]["ok"]:
+        return got
+    found = archive.expand(readers.read_archives(spark, f"{c.output}/files", deep=True), c.max_depth)
+    wrote = archive.materialise(found, f"{c.output}/extracted")
+    got["extract"] = _written(wrote, f"{c.output}/members", F.col("written").isNotNull())
+    if not got["extract"]["ok"]:
+        return got
+    got["parse"] = parse(spark, replace(c, input=f"{c.output}/extracted", output=f"{c.output}/records"))
+    return got
 
 
 def extract(spark: SparkSession, c: settings.Config) -> dict:
@@ -49,12 +76,12 @@ def _written(df, path: str, ok, mode: str = "overwrite") -> dict:
     return {"total": seen.get["total"], "ok": seen.get["ok"], "status": "success" if seen.get["total"] else "empty"}
 
 
-COMMANDS = {"extract": extract, "parse": parse, "import": import_, "chunk": chunk}
+COMMANDS = {"run": run, "download": download_, "extract": extract, "parse": parse, "import": import_, "chunk": chunk}
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="patentframe")
-    p.add_argument("command", choices=[*COMMANDS, "config", "queries"])
+    p.add_argument("command", choices=[*COMMANDS, "config", "queries", "version"])
     p.add_argument("--config")
     for f in fields(settings.Config):
         p.add_argument("--" + f.name.replace("_", "-"))
@@ -63,6 +90,8 @@ def main(argv: list[str] | None = None) -> int:
     c = settings.load(path, args)
     if command == "config":
         print(settings.shown(c))
+    elif command == "version":
+        print(__version__)
     elif command == "queries":
         from .registry import QUERIES
 

@@ -19,6 +19,13 @@ class Config:
     chunk_overlap: int = 200
     split_claims: bool = True
     strict_compat: bool = False
+    base_url: str = ""
+    products: str = ""
+    parallel: int = 5
+    retries: int = 3
+    timeout: int = 30
+    skip_exists: bool = True
+    verify_sha1: bool = True
 
     def __post_init__(self):
         if self.reject_scope not in ("row", "file"):
@@ -27,6 +34,12 @@ class Config:
             raise ValueError("chunk_overlap must be below chunk_size")
         if self.max_depth < 0:
             raise ValueError("max_depth must not be negative")
+        if not 1 <= self.parallel <= 30:
+            raise ValueError("parallel must be between 1 and 30")
+        if self.retries < 0 or self.timeout < 1:
+            raise ValueError("retries must not be negative, and timeout at least 1 second")
+        if not all(x.strip().isdigit() for x in self.products.split(",") if x.strip()):
+            raise ValueError("products must be numbers, separated by commas")
 
 
 def _typed(name: str, kind: str, value):

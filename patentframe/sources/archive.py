@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import calendar
 import io
 import posixpath
 import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO, NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MEMBERS = "archive string, path string, depth int, size long, mode int, mtime long, content binary, problem string"
+from .files import open_file, write_parts
+
+MEMBERS = "archive string, path string, depth int, size long, mode int, mtime long, content binary, link string, problem string"
 SUFFIXES = (".zip", ".tar.gz", ".tgz", ".tar")
+#: Bytes of content after which rows are passed on.
+BATCH = 32 << 20
+
+
+class Member(NamedTuple):
+    path: str
+    depth: int = 0
+    size: int = 0
+    mode: int = 0
+    mtime: int = 0
+    read: Callable[[], bytes] | None = None
+    link: str | None = None
+    problem: str | None = None
 
 
 def safe(path: str) -> bool:
@@ -20,51 +39,101 @@ def safe(path: str) -> bool:
     return not (clean.startswith(("/", "../")) or clean == "..")
 
 
-def members(name: str, data: bytes) -> Iterator[tuple[str, int, int, bytes | None, str | None]]:
-    """(path, mode, mtime, content, problem) of files; an unsafe path ends the archive, an unsafe link is only told of."""
+def members(name: str, file: BinaryIO) -> Iterator[Member]:
+    """Files and links in order, contents unread; an unsafe path ends the archive, an unsafe link is only told of."""
     if name.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(file) as z:
             for info in z.infolist():
                 if not safe(info.filename):
-                    yield info.filename, 0, 0, None, "unsafe path"
+                    yield Member(info.filename, problem="unsafe path")
                     return
                 if not info.is_dir():
-                    yield info.filename, info.external_attr >> 16, 0, z.read(info), None
+                    yield Member(info.filename, 0, info.file_size, info.external_attr >> 16, calendar.timegm((*info.date_time, 0, 0, 0)), lambda i=info: z.read(i))
         return
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+    with tarfile.open(fileobj=file, mode="r:*") as t:
         for info in t:
             if not safe(info.name):
-                yield info.name, 0, 0, None, "unsafe path"
+                yield Member(info.name, problem="unsafe path")
                 return
-            if info.issym() and not safe(posixpath.join(posixpath.dirname(info.name), info.linkname)):
-                yield info.name, info.mode, int(info.mtime), None, "unsafe link"
+            if info.issym():
+                bad = not safe(posixpath.join(posixpath.dirname(info.name), info.linkname))
+                yield Member(info.name, 0, 0, info.mode, int(info.mtime), None, info.linkname, "unsafe link" if bad else None)
             elif info.isreg():
-                yield info.name, info.mode, int(info.mtime), t.extractfile(info).read(), None
+                yield Member(info.name, 0, info.size, info.mode, int(info.mtime), lambda i=info: t.extractfile(i).read())
+            t.members = []  # else every header met is kept
+
+
+def walk(name: str, file: BinaryIO, max_depth: int, folder: str = "", depth: int = 0) -> Iterator[Member]:
+    """Members of an archive and of those in it, under the paths they unpack to. Only nested archives are read."""
+    try:
+        for m in members(name, file):
+            full = posixpath.normpath(posixpath.join(folder, m.path)) if m.problem != "unsafe path" else m.path
+            if m.read and m.path.lower().endswith(SUFFIXES) and depth < max_depth:
+                yield from walk(m.path, io.BytesIO(m.read()), max_depth, posixpath.dirname(full), depth + 1)
+            else:
+                yield m._replace(path=full, depth=depth)
+    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError) as e:
+        yield Member(posixpath.join(folder, name), depth, problem=f"broken: {type(e).__name__}")
 
 
 def expand(archives: DataFrame, max_depth: int = 5) -> DataFrame:
-    """A row for each file of (path, content) archives. Nested archives are opened in turn, at most ``max_depth`` deep,
-    and give their members beside them; broken ones give a row with a problem. Of equal paths the last holds."""
-
-    def walk(name: str, data: bytes, folder: str, depth: int) -> Iterator[tuple]:
-        try:
-            for path, mode, mtime, content, problem in members(name, data):
-                full = posixpath.normpath(posixpath.join(folder, path))
-                if content is not None and path.lower().endswith(SUFFIXES) and depth < max_depth:
-                    yield from walk(path, content, posixpath.dirname(full), depth + 1)
-                else:
-                    yield full, depth, len(content or b""), mode, mtime, content, problem
-        except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as e:
-            yield posixpath.join(folder, name), depth, 0, 0, 0, None, f"broken: {type(e).__name__}"
+    """A row for each file and link of archives (path, and content; without content they are opened by their path).
+
+    Nested archives are opened in turn, at most ``max_depth`` deep, and give their members beside them; broken ones give
+    a row with a problem. Of equal paths the last holds: an archive is walked once for its paths, then for its contents,
+    so a task holds one member and 32 MB of rows, not a whole archive unpacked.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.string())
+        names = [x.split()[0] for x in MEMBERS.split(", ")]
+        held: list[tuple] = []
+        size = 0
+
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*held)) or [()] * len(kinds), kinds)], names)
+
+        for b in batches:
+            contents = b.column(1) if b.num_columns > 1 else [None] * b.num_rows
+            for archive, data in zip(b.column(0).to_pylist(), contents):
+                begin = (lambda d=data: io.BytesIO(d.as_py())) if data is not None else (lambda a=archive: open_file(a))
+                try:
+                    last = {m.path: k for k, m in enumerate(walk(archive, begin(), max_depth))}
+                except OSError as e:  # of the file itself
+                    held.append((archive, archive, 0, 0, 0, 0, None, None, f"broken: {type(e).__name__}"))
+                    continue
+                for k, m in enumerate(walk(archive, begin(), max_depth)):
+                    if last.get(m.path) != k:
+                        continue
+                    problem, content = m.problem, None
+                    try:
+                        content = m.read() if m.read else None
+                    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, RuntimeError) as e:
+                        problem = f"broken: {type(e).__name__}"
+                    held.append((archive, m.path, m.depth, len(content) if content is not None else m.size, m.mode, m.mtime, content, m.link, problem))
+                    size += len(content or b"") + 200
+                    if size > BATCH:
+                        yield passed_on()
+                        held, size = [], 0
+        yield passed_on()
+
+    columns = [c for c in ("path", "content") if c in archives.columns]
+    return archives.select(*columns).mapInArrow(run, MEMBERS)
+
+
+def materialise(found: DataFrame, folder: str) -> DataFrame:
+    """Write members as files below ``folder``; archive, path, written (bytes, null where there was nothing to write).
 
+    Archives unpack to a folder each, named by a digest of their path, as equal member paths of two may not meet.
+    """
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for archive, data in zip(b.column(0).to_pylist(), b.column(1)):
-                last = {row[0]: (archive, *row) for row in walk(archive, data.as_py(), "", 0)}
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string())
-                names = [x.split()[0] for x in MEMBERS.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*last.values())) or [()] * 8, kinds)], names)
+            wrote = [write_parts(f"{folder}/{key}/{path}", [c.as_py()]) if c.is_valid else None for key, path, c in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wrote, pa.int64())], ["archive", "path", "written"])
 
-    return archives.select("path", "content").mapInArrow(run, MEMBERS)
+    rows = found.select("archive", "path", F.md5("archive"), F.when(F.col("problem").isNull(), F.col("content")))
+    return rows.mapInArrow(run, "archive string, path string, written long")

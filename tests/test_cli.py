@@ -1,9 +1,15 @@
+import hashlib
+import io
 import json
+import threading
+import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
 from patentframe import __main__ as cli
 from patentframe import config
+from patentframe.sources import archive, download, readers
 from tests.test_units import PLAIN, XML, application
 
 
@@ -12,7 +18,7 @@ def test_config_sources(tmp_path):
     f.write_text(json.dumps({"chunk_size": 500, "output": "a"}))
     c = config.load(str(f), {"output": "b", "input": None}, {"PATENTFRAME_CHUNK_OVERLAP": "50", "PATENTFRAME_SPLIT_CLAIMS": "false", "HOME": "x"})
     assert (c.chunk_size, c.output, c.chunk_overlap, c.split_claims, c.input) == (500, "b", 50, False, "")
-    for bad in ({"nonsense": 1}, {"reject_scope": "all"}, {"chunk_size": 10}, {"split_claims": "maybe"}):
+    for bad in ({"nonsense": 1}, {"reject_scope": "all"}, {"chunk_size": 10}, {"split_claims": "maybe"}, {"parallel": 0}, {"products": "x"}):
         with pytest.raises(ValueError):
             config.load(None, bad, {})
 
@@ -29,3 +35,88 @@ def test_commands(spark, tmp_path, capsys):
     assert {r["section"] for r in spark.read.parquet(str(tmp_path / "chunks")).collect()} == {"Title", "Abstract", "Claims", "Background", "Summary", "Description"}
     cli.main(["config", "--chunk-size", "700"])
     assert '"chunk_size": 700' in capsys.readouterr().out
+
+
+def _zip(**files):
+    to = io.BytesIO()
+    with zipfile.ZipFile(to, "w") as z:
+        for k, v in files.items():
+            z.writestr(k, v)
+    return to.getvalue()
+
+
+@pytest.fixture
+def server():
+    """Product 14: a whole archive (its first request fails), one with a wrong checksum, one that isn't there."""
+    data, asked = _zip(**{"a/one.xml": XML, "two.zip": _zip(**{"plain.xml": PLAIN})}), []
+    item = lambda i, name, sha: {"itemId": i, "itemName": name, "fileSize": "1 KB", "fileChecksum": sha}
+    good = hashlib.sha1(data).hexdigest()
+    product = {"id": 14, "name": "p", "deliveries": [{"deliveryId": 1, "deliveryName": "d", "items": [item(1, "good.zip", good), item(2, "bad.zip", "0" * 40), item(3, "gone.zip", good)]}]}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            body = {"/products/14": json.dumps(product).encode()}.get(self.path)
+            if self.path.endswith(("/item/1/download", "/item/2/download")):
+                body = data
+            if body is None or (self.path.endswith("/item/1/download") and asked.count(self.path) == 1):
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", asked
+    s.shutdown()
+    s.server_close()
+
+
+def test_download_unpack_and_parse(spark, tmp_path, server):
+    url, asked = server
+    out = str(tmp_path / "out")
+    args = ["run", "--base-url", url, "--products", "14,15", "--output", out, "--retries", "1"]
+    assert cli.main(args) == 0
+    rows = {r["file_path"]: r for r in spark.read.parquet(f"{out}/downloads").collect()}
+    assert {k: (r["outcome"], r["tries"]) for k, r in rows.items()} == {"data/good.zip": ("ok", 2), "data/bad.zip": ("mismatch", 2), "data/gone.zip": ("failed", 2), None: ("catalog", None)}
+    assert [p.name for p in (tmp_path / "out" / "files" / "data").iterdir() if not p.name.startswith(".")] == ["good.zip"]
+    assert sorted(p.name for p in (tmp_path / "out" / "extracted").rglob("*.xml")) == ["one.xml", "plain.xml"]
+    assert spark.read.parquet(f"{out}/records").count() == 3
+    before = asked.count("/products/14/delivery/1/item/1/download")
+    assert cli.main(args) == 0  # what is there with its checksum isn't asked for again
+    assert asked.count("/products/14/delivery/1/item/1/download") == before
+    assert {r["outcome"] for r in spark.read.parquet(f"{out}/downloads").where("file_path = 'data/good.zip'").collect()} == {"skipped"}
+
+
+def test_download_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "file_path string, checksum string, url string")
+    assert download.download(none, str(tmp_path)).count() == 0
+    null = spark.createDataFrame([("a", None, "nonsense")], none.schema)
+    assert download.download(null, str(tmp_path), retries=0).first()["outcome"] == "failed"
+
+
+def test_large_and_linked_members(spark, tmp_path, monkeypatch):
+    """Rows come in several batches, equal paths keep the last, contents may be opened by path, links are told."""
+    import tarfile
+
+    monkeypatch.setattr(archive, "BATCH", 1000)
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for k in range(40):
+            info = tarfile.TarInfo(f"m{k % 30}")
+            info.size, info.mtime = 400, 1000 + k
+            t.addfile(info, io.BytesIO(bytes([k]) * 400))
+        link = tarfile.TarInfo("l")
+        link.type, link.linkname = tarfile.SYMTYPE, "m1"
+        t.addfile(link)
+    found = readers.read_archives(spark, str(tmp_path))
+    for source in (found, found.drop("content")):
+        got = {r["path"]: r for r in archive.expand(source).collect()}
+        assert len(got) == 31 and got["l"]["link"] == "m1" and got["l"]["problem"] is None
+        for k in range(30):
+            last = k + 30 if k < 10 else k
+            assert bytes(got[f"m{k}"]["content"]) == bytes([last]) * 400 and got[f"m{k}"]["mtime"] == 1000 + last
