@@ -222,11 +222,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, least: flo
     return marked.join(found, "node").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 16, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 20, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the least id of each component, one of each; all columns are kept.
 
     Texts are linked if their sets of ``words``-word shingles are alike by ``least`` or more, as a sketch of them tells,
-    and their fingerprints differ in at most ``radius`` bits: at a similarity of 0.8 about 10 do, and over 16 hardly ever.
+    and their fingerprints differ in at most ``radius`` bits: at a similarity of 0.8 about 10 do, and over 20 in fewer than one pair of a thousand.
     """
     marked = fingerprints(docs, words, True, id_col, text_col, docs.columns)
     kept = classes(marked.drop("row"), radius, least).select(F.col("least_uid").alias("uid")).distinct()
