@@ -157,15 +157,16 @@ def compare(a: Tile, b: Tile, same: bool, radius: int, least: float | None) -> t
     return nodes[i], nodes[j]
 
 
-def links(marked: DataFrame, radius: int, least: float | None = None, tiles: int = 64, tile_rows: int = 8192) -> DataFrame:
+def links(marked: DataFrame, radius: int, least: float | None = None, tiles: int = 64, tile_rows: int = 8192, most_rows: int = 1 << 18) -> DataFrame:
     """(u, v) links of nodes within the radius, and alike by their sketches if ``least`` is given; enough for components.
 
-    A tile holds 1/``tiles`` of the distinct fingerprints, ``tile_rows`` at least. Only pairs of file names are shuffled.
+    A tile holds 1/``tiles`` of the distinct fingerprints, ``tile_rows`` at least and about ``most_rows`` at most, so a task's memory has a
+    bound whatever the input (140 MB a tile with sketches). Only pairs of file names are shuffled.
     """
     spark = marked.sparkSession
     distinct = C.stage_table(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "distinct")
     count = distinct.count()
-    n_tiles = max(1, min(tiles, -(-count // tile_rows)))
+    n_tiles = max(1, min(tiles, -(-count // tile_rows)), -(-count // most_rows))
     out_dir = C.new_dir(spark, "tiles")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -375,7 +375,7 @@ def test_op7_tiles_lose_no_link():
         import io
 
         to = io.BytesIO()
-        np.savez(to, fp=part, node=part.view(np.int64), sketch=np.zeros((len(part), 0), np.uint16))
+        np.savez(to, fp=part, node=part.view(np.int64), sketch=np.zeros((len(part), 0), np.uint8))
         return simhash.Tile(to.getvalue())
 
     parts = [tile(x) for x in np.array_split(fps, 5)]
@@ -396,6 +396,31 @@ def test_op7_tiles_lose_no_link():
     assert groups(find) == groups(want.get)
 
 
+def test_op7_many_small_tiles(spark):
+    """The bound of a tile's rows makes more tiles than asked for, and none of their links is lost."""
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([seeds, *(seeds ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(6))]))
+    marked = spark.createDataFrame([(int(x), b"", int(x)) for x in fps.view(np.int64)], "fp long, sketch binary, node long")
+    got = {r["node"]: r["root"] for r in plain(components.components(simhash.links(marked, 3, tiles=1, most_rows=16)))}
+    want = brute_components([int(f) for f in fps], 3)
+    groups = lambda root: {frozenset(x for x in want if root(x) == r) for r in {root(x) for x in want}}
+    signed = {int(f): int(n) for f, n in zip(fps, fps.view(np.int64))}
+    assert groups(lambda x: got.get(signed[x], signed[x])) == groups(want.get)
+
+
+def test_sketches_estimate_similarity():
+    """Estimates are within 0.08 of the exact similarity, for short texts and long ones."""
+    rng = random.Random(5)
+    for n in (30, 200, 3000):
+        for share in (0.82, 0.9, 0.7, 0.5):
+            both = {rng.getrandbits(64) for _ in range(round(n * share))}
+            own = [{rng.getrandbits(64) for _ in range((n - len(both)) // 2)} for _ in range(2)]
+            a, b = (simhash.sketch(np.array(sorted(both | x), np.uint64))[None] for x in own)
+            true = len(both) / len(both | own[0] | own[1])
+            assert abs(simhash.likeness(a, b)[0] - true) < 0.08, (n, share)
+
+
 def test_op7_keeps_one_of_near_copies(spark):
     rng = random.Random(3)
     base = [words(rng, 300).split() for _ in range(6)]
