@@ -436,6 +436,20 @@ def test_op7_keeps_one_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in plain(left)) == [0, 7, 100, 200, 300, 400, 500]
 
 
+def test_op7_similarity_is_exact(spark):
+    """Pairs just below the similarity asked for stay, and those that just reach it are met, whatever the sketch estimates."""
+    rng = random.Random(12)
+    data, gone = [], set()
+    for k in range(120):
+        n, own = rng.choice([(40, 6), (200, 26), (800, 101)])  # similarity n / (n + 2 own): 0.769, 0.794, 0.798
+        own -= k % 2 and -(-(8 * own - n) // 8)  # 0.8 or a little more
+        both, *ends = ([f"w{rng.getrandbits(48)}" for _ in range(x)] for x in (n + 4, own, own))
+        data += [(2 * k, " ".join(both + ends[0])), (2 * k + 1, " ".join(both + ends[1]))]
+        gone |= {2 * k + 1} if 10 * n >= 8 * (n + 2 * own) else set()
+    left = {r["doc_id"] for r in plain(simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert len(gone) == 60 and set(range(240)) - left == gone
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(9, k) for k in range(10, 60)] + [(70, 71), (71, 70), (5, 5)]
     got = {r["node"]: r["root"] for r in plain(components.components(spark.createDataFrame(edges, "u long, v long")))}
