@@ -29,8 +29,8 @@ BINS = 512
 CHANCE = 1 / 255
 #: Over five standard errors (0.018) of the estimate at a similarity of 0.8: pairs below by so much aren't compared by their sets.
 TOLERANCE = 0.1
-#: Sets of fewer shingles are compared whatever the estimate: there two shingles in a bin make a difference.
-FEW = 16
+#: Sets of fewer shingles have wider bounds, as one shingle makes a difference: of the estimate, and this many bits more.
+FEW, FEW_TOLERANCE, FEW_BITS = 16, 0.3, 6
 #: Hashes of shingles a task holds at once (8 bytes each), besides one pair of texts.
 MOST_HASHES = 4_000_000
 
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, words: int, texts: Texts | None, id_col: str =
     """id, uid, fp, sketch, node of every row, and the columns ``keep`` under ``row``; written to the shared folder.
 
     ``uid`` numbers rows. ``node`` is what is compared: the fingerprint or, with ``texts``, a hash of the set of shingles.
-    Then texts are written to its folder and ``place`` tells where, and how many distinct shingles they have.
+    Then fingerprints are of distinct shingles, texts are written to its folder and ``place`` tells where, and how many distinct shingles they have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +130,14 @@ def fingerprints(docs: DataFrame, words: int, texts: Texts | None, id_col: str =
                 for text in batch.column(1):
                     text = text.as_py()
                     h = shingle_hashes(text, words)
-                    fp = simhash(h)
+                    own = h if texts is None else np.unique(h)  # similarity is of sets, so repeats don't count there
+                    fp = simhash(own)
                     fps.append(fp)
                     if texts is None:
                         sketches.append(b"")
                         nodes.append(fp)
                         continue
-                    own, raw = np.unique(h), text.encode()
+                    raw = text.encode()
                     data = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
                     if to is None:
                         fs, path = C.filesystem(texts.path(attempt))
@@ -218,7 +219,7 @@ def alike(a: Tile, b: Tile, i: np.ndarray, j: np.ndarray, offset: int, least: fl
         n, m = a.place[3][x].astype(np.int64), b.place[3][y].astype(np.int64)
         some = (groups.root[x] != groups.root[y + offset]) & (np.minimum(n, m) >= least * np.maximum(n, m))
         x, y, few = x[some], y[some], np.maximum(n, m)[some] < FEW
-        some = few | (likeness(a.sketch[x], b.sketch[y]) >= least - TOLERANCE)
+        some = likeness(a.sketch[x], b.sketch[y]) >= least - np.where(few, FEW_TOLERANCE, TOLERANCE)
         x, y = x[some], y[some]
         for r in np.unique(x).tolist():
             own = y[x == r]
@@ -233,6 +234,7 @@ def alike(a: Tile, b: Tile, i: np.ndarray, j: np.ndarray, offset: int, least: fl
 def compare(a: Tile, b: Tile, same: bool, radius: int, least: float | None, texts: Texts | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles as a forest of nodes. Runs whose counts, of all or of the low bits, differ too much are skipped."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    wide = radius + (FEW_BITS if least is not None else 0)
     groups = Groups(len(a.fp) + (0 if same else len(b.fp))) if least is not None else None
     size = 0
     offset = 0 if same else len(a.fp)
@@ -243,9 +245,13 @@ def compare(a: Tile, b: Tile, same: bool, radius: int, least: float | None, text
             if same and c1 <= r0:
                 continue
             gap = np.maximum(0, np.maximum(low - high2, low2 - high))
-            if gap[0] > radius or gap[1] > radius:
+            if gap[0] > wide or gap[1] > wide:
                 continue
-            near = np.bitwise_count(a.fp[r0:r1, None] ^ b.fp[None, c0:c1]) <= radius
+            bits = np.bitwise_count(a.fp[r0:r1, None] ^ b.fp[None, c0:c1])
+            near = bits <= radius
+            if wide > radius:
+                few, few2 = np.flatnonzero(a.place[3][r0:r1] < FEW), np.flatnonzero(b.place[3][c0:c1] < FEW)
+                near[np.ix_(few, few2)] |= bits[np.ix_(few, few2)] <= wide
             if not near.any():
                 continue
             i, j = np.nonzero(near)
@@ -300,7 +306,7 @@ def links(marked: DataFrame, radius: int, least: float | None = None, tiles: int
     ordered = ordered.repartitionByRange(n_tiles, "ones", "half", "fp", "node").sortWithinPartitions("ones", "half", "fp", "node").drop("ones", "half")
     table = C.stage_table(ordered.mapInArrow(cut, "path string, low int, high int"), "tiles-list")
     # a pair is met once, where the tile that begins later begins
-    begun = table.select("path", "low", F.explode(F.sequence("low", F.col("high") + radius)).alias("k"))
+    begun = table.select("path", "low", F.explode(F.sequence("low", F.col("high") + radius + (FEW_BITS if least is not None else 0))).alias("k"))
     later = table.select(F.col("path").alias("path2"), F.col("low").alias("k"))
     pairs = begun.join(later, "k").where("(low, path) <= (k, path2)").select("path", "path2")
 
@@ -340,7 +346,8 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 20, least: float = 0
     """The rows of ``docs`` with the least id of each component, one of each; all columns are kept.
 
     Texts are linked if their sets of ``words``-word shingles are alike by ``least`` or more (64-bit hashes of shingles stand
-    for them; a sketch only discards pairs below ``least`` by ``TOLERANCE``), and their fingerprints differ in at most ``radius`` bits: at a similarity of 0.8 about 10 do, and over 20 in fewer than one pair of a thousand.
+    for them; a sketch only discards pairs below ``least`` by ``TOLERANCE``), and their fingerprints, of the same sets, differ in at most ``radius`` bits: at a similarity of 0.8 about 10 do, and over 20 in fewer
+    than one pair of a thousand from 10 shingles on. Of 4 against 5 it is 1 of 190, so below ``FEW`` ``FEW_BITS`` more may differ.
     """
     texts = Texts(C.new_dir(docs.sparkSession, "texts"), words)
     marked = fingerprints(docs, words, texts, id_col, text_col, docs.columns)

@@ -450,6 +450,29 @@ def test_op7_similarity_is_exact(spark):
     assert len(gone) == 60 and set(range(240)) - left == gone
 
 
+def test_op7_repeats_move_no_fingerprint(spark):
+    """Texts with equal sets of shingles are met, though one of them repeats a shingle 60 times."""
+    rng = random.Random(13)
+    data = []
+    for k in range(10):
+        own = " ".join(f"w{rng.getrandbits(48)}" for _ in range(300))
+        data += [(2 * k, own + " so" * 5), (2 * k + 1, own + " so" * 64)]
+    left = {r["doc_id"] for r in plain(simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert left == set(range(0, 20, 2))
+
+
+def test_op7_short_texts_far_apart_in_bits(spark):
+    """Of 4 shingles against 5 (similarity 0.8) over 20 bits may differ."""
+    rng = random.Random(14)
+    data = []
+    while len(data) < 12:
+        w = [f"w{rng.getrandbits(48)}" for _ in range(9)]
+        a, b = (simhash.simhash(simhash.shingle_hashes(" ".join(x), 5)) for x in (w[:8], w))
+        data += [(len(data), " ".join(w[:8])), (len(data) + 1, " ".join(w))] if (a ^ b).bit_count() > 20 else []
+    left = {r["doc_id"] for r in plain(simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert left == set(range(0, 12, 2))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(9, k) for k in range(10, 60)] + [(70, 71), (71, 70), (5, 5)]
     got = {r["node"]: r["root"] for r in plain(components.components(spark.createDataFrame(edges, "u long, v long")))}
