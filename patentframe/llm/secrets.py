@@ -35,7 +35,8 @@ RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),  # runs are taken whole, so the bound may stand in the expression
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
+    # to the END line of the same kind, if there is one before other dashes of that sort; headers of a key have a few single dashes
+    Rule("pem", r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:[^-]*-(?!----)){0,64}[^-]*-----END \1PRIVATE KEY-----)?", base=False),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
 )
 

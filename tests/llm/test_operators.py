@@ -559,6 +559,15 @@ def test_op10_against_expressions(docs, none, broadcast, monkeypatch):
     assert all(not any(brute_spans(r["text"] or "")[0]) for r in plain(left))
 
 
+def test_op10_private_keys_go_whole(spark):
+    key = "-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n" + "MIIEabcd+/\n" * 2000 + "-----END EC PRIVATE KEY-----"
+    odd = "-----BEGIN PRIVATE KEY-----"
+    data = [(1, f"a {key} b {key}"), (2, f"a {odd} lost its end"), (3, f"{odd} x {key} y"), (4, f"{odd}\nMII\n-----END EC PRIVATE KEY-----"), (5, odd + " - " * 9000)]
+    left = {r["doc_id"]: r["text"] for r in plain(secrets.redact(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert left == {1: "a [SECRET] b [SECRET]", 2: "a [SECRET] lost its end", 3: "[SECRET] x [SECRET] y", 4: "[SECRET]\nMII\n-----END EC PRIVATE KEY-----", 5: "[SECRET]" + " - " * 9000}
+    assert {r["doc_id"]: r["spans"] for r in plain(secrets.scan(spark.createDataFrame(data[:1], "doc_id long, text string")))} == {1: f"pem:2:{2 + len(key)},pem:{5 + len(key)}:{5 + 2 * len(key)}"}
+
+
 def test_op10_queries_hold_for_all_matches():
     rng = random.Random(6)
     samples = {"assign": ["password=abcdef", "API_KEY: 'zzzzzzz", 'Token"="123456', "passwd:------"], "access": ["AKIA" + "A" * 16], "pem": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"], "github": ["ghp_" + "a" * 36]}
