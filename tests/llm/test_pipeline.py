@@ -57,6 +57,25 @@ def test_near_duplicate_stage(stages):
     assert not [(i, j) for k, i in enumerate(kept) for j in kept[k + 1 :] if like(after[i], after[j]) >= 0.9]
 
 
+def test_near_duplicate_stage_is_exact(stages):
+    """Kept are the least ids of the groups that exact similarity of 0.8 links, no more and no fewer."""
+    before = {r["doc_id"]: shingles(r["text"]) for r in plain(stages[2])}
+    ids, root = sorted(before), {i: i for i in before}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = before[i], before[j]
+            if 10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert {r["doc_id"] for r in plain(stages[3])} == {find(i) for i in ids}
+
+
 def test_secret_stage(stages):
     before, after = ({r["doc_id"]: r["text"] for r in plain(s)} for s in stages[3:5])
     assert before.keys() == after.keys()
