@@ -143,13 +143,13 @@ def deal(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each text with its end id; ``local``: rank in its task among equal lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, seen, end = TaskContext.get().partitionId(), encoder(tokenizer), Counter(), np.array([end_id], np.uint32)
+        part, enc, seen, end = TaskContext.get().partitionId(), encoder(tokenizer, special_as_text), Counter(), np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[tuple] = []
             encoded = (ids for texts in groups(batch.column(1)) for ids in enc.encode(texts))
@@ -166,13 +166,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: in
     return C.ids_and_texts(docs, id_col, text_col).select(F.col("id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     Null and empty texts are one piece with the end id alone; null ids and repeated rows are pieces like any other;
-    equal lengths are exchangeable, so ties need no order; an empty table gives no rows.
+    equal lengths are exchangeable, so ties need no order; an empty table gives no rows. Ids must be whole numbers, or
+    texts of them: any other text ends the job with a cast error. Special tokens' strings give special tokens, as the
+    library's call does, unless ``special_as_text``.
     """
-    pieces = C.stage_table(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    pieces = C.stage_table(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, special_as_text), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     table = deal(plan_bins({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     # capacity and counts bound the keys: length * 2^44 + rank

@@ -2,7 +2,7 @@
 
 A tokenizer of this kind maps each pre-token alone, so a task needs the library only for pre-tokens it has not met:
 texts are split by the tokenizer's own pattern, a bounded memo holds the ids by pre-token, and misses are encoded in
-batches. Texts with characters beyond Latin or odd white space go to the library whole.
+batches. Texts with characters beyond Latin, odd white space or a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -84,14 +84,16 @@ class Ragged:
 class TextEncoder:
     """``encode(texts)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` of each as uint32.
 
-    Special tokens' strings in a text are ordinary text. The memo forgets at ``most`` pre-tokens.
+    As in that call, a special token's string in a text gives the special token's id; with ``special_as_text`` (the
+    library's ``encode_special_tokens``) it is ordinary text. The memo forgets at ``most`` pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.path, self._whole = path, None
+        self.path, self._whole, self.special_as_text = path, None, special_as_text
+        self.special = [] if special_as_text else [t["content"] for t in spec["added_tokens"]]
         self.lower = spec["normalizer"] is not None
         self.pattern = WORD_END if self.lower else BYTE_LEVEL
         self.most = most
@@ -126,7 +128,7 @@ class TextEncoder:
             from tokenizers import Tokenizer
 
             self._whole = Tokenizer.from_file(self.path)
-            self._whole.encode_special_tokens = True
+            self._whole.encode_special_tokens = self.special_as_text
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -136,11 +138,12 @@ class TextEncoder:
         codes: list[np.ndarray] = []
         odd: dict[int, np.ndarray] = {}
         for k, text in enumerate(texts):
-            if ODD.search(text):
+            plain = text.lower() if self.lower else text  # some letters' lower case is beyond those the pattern knows
+            if ODD.search(plain) or any(s in text for s in self.special):
                 odd[k] = self.whole(text)
                 found = []
             else:
-                found = self.pattern.findall(text.lower() if self.lower else text)
+                found = self.pattern.findall(plain)
             codes.append(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)))
         if self.codes.pending:
             self._miss(self.codes.pending)
@@ -166,14 +169,15 @@ def groups(column, most: int = 64, chars: int = 1 << 20):
         yield held
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, special_as_text: bool = False) -> TextEncoder:
     """One encoder for each Python worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(path, special_as_text=special_as_text)
+    return _ENCODERS[key]

@@ -1,7 +1,8 @@
 """Operator 1: token ids in wavelet-matrix shards.
 
 A shard is one file: a header, the documents' ids and starts, its tokens by falling frequency, and one zstd-compressed
-bit-plane for each bit of a token's place among those. Rank over the planes answers access, counting and occurrence lookup without expanding the shard.
+bit-plane for each bit of a token's place among those. Rank and select over the planes answer access, counting and
+occurrence lookup without expanding the shard.
 """
 
 from __future__ import annotations
@@ -25,19 +26,45 @@ MAGIC = b"PFWM0001"
 
 
 class BitPlane:
-    """Bits with rank over 64-bit words."""
+    """Bits with rank and select: one sampled rank for every ``BLOCK`` words, an eighth of a bit for each bit."""
+
+    BLOCK = 8
 
     def __init__(self, packed: bytes, n: int):
-        words = np.zeros((n + 63) // 64 + 1, np.uint64)
+        words = np.zeros(((n + 63) // 64 // self.BLOCK + 1) * self.BLOCK, np.uint64)
         words.view(np.uint8)[: len(packed)] = np.frombuffer(packed, np.uint8)
         self.words, self.n = words, n
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+        ones = np.bitwise_count(words).reshape(-1, self.BLOCK).sum(axis=1, dtype=np.int64)
+        self.before = np.concatenate([[0], np.cumsum(ones)])
 
     def rank1(self, at):
         """Ones in [0, at); scalar or array."""
         at = np.asarray(at, np.int64)
+        word, block = at >> 6, (at >> 6) // self.BLOCK
         low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at >> 6] + np.bitwise_count(self.words[at >> 6] & low)
+        near = np.minimum(block[..., None] * self.BLOCK + np.arange(self.BLOCK), len(self.words) - 1)
+        within = np.where(near < word[..., None], np.bitwise_count(self.words[near]), 0).sum(axis=-1, dtype=np.int64)
+        return self.before[block] + within + np.bitwise_count(self.words[np.minimum(word, len(self.words) - 1)] & low)
+
+    def select(self, nth, bit: int) -> np.ndarray:
+        """Where the ``nth`` (from 0) of the bits equal to ``bit`` stand: by sampled ranks, then words, then bits."""
+        nth = np.asarray(nth, np.int64)
+        before = self.before if bit else np.arange(len(self.before)) * (64 * self.BLOCK) - self.before
+        block = np.searchsorted(before, nth, side="right") - 1
+        near = block[:, None] * self.BLOCK + np.arange(self.BLOCK)
+        held = self.words[near] if bit else ~self.words[near]
+        ends = np.cumsum(np.bitwise_count(held), axis=1, dtype=np.int64)
+        left = nth - before[block]
+        k = (ends <= left[:, None]).sum(axis=1)
+        rows = np.arange(len(nth))
+        left -= np.where(k, ends[rows, k - 1], 0)
+        word, at, width = held[rows, k], np.zeros(len(nth), np.int64), 32
+        while width:  # halves of the word that hold too few are passed over
+            low = word >> at.astype(np.uint64) & np.uint64((1 << width) - 1)
+            ones = np.bitwise_count(low).astype(np.int64)
+            past = ones <= left
+            left, at, width = left - np.where(past, ones, 0), at + np.where(past, width, 0), width >> 1
+        return (near[rows, k] << 6) + at
 
     def get(self, at):
         at = np.asarray(at, np.int64)
@@ -110,12 +137,9 @@ class WaveletMatrix:
         a, b = self._range(token, 0, self.n)
         place, at = self._place.get(token, 0), np.arange(a, b)
         for level in reversed(range(self.levels)):
-            bits = self.plane(level).bits()
-            if place >> (self.levels - 1 - level) & 1:
-                at = np.flatnonzero(bits)[at - self.zeros[level]]
-            else:
-                at = np.flatnonzero(~bits)[at]
-        return np.sort(at)
+            bit = place >> (self.levels - 1 - level) & 1
+            at = self.plane(level).select(at - self.zeros[level] * bit, bit)
+        return at
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the stable partitions are undone from the lowest plane up."""
@@ -174,7 +198,9 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
 
     ``part``/``within``: the range partition, and the tokens of that partition before the shard. Null texts are empty
     (one end id); null ids come first; rows with equal ids are ordered by a hash of their text, and equal rows are kept.
-    A document is never split; a longer one makes its shard larger. An empty table writes no file.
+    A document is never split; a longer one makes its shard larger. An empty table writes no file. Ids must be whole
+    numbers, or texts of them: any other text ends the job with a cast error. Special tokens' strings give special
+    tokens, as the library's call does.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

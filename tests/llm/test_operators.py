@@ -81,9 +81,7 @@ def in_order(docs_rows):
 def bytes_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_op1_round_trip(spark, docs, none, bytes_tokenizer):
@@ -122,6 +120,37 @@ def test_encoder_forgets_and_stays_right(bytes_tokenizer):
             assert ids.tolist() == bytes_tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library(name, special_as_text):
+    """Every code point up to U+024F, alone and between letters, and random texts, special tokens' strings among them."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(1)
+    lib, enc = Tokenizer.from_file(path), pretokens.TextEncoder(path, special_as_text=special_as_text)
+    lib.encode_special_tokens = special_as_text
+    every = [chr(c) for c in range(0x250)]
+    odd = [*every, "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "\n", "日", "\u0301", "\U0001f600", "'s", "'LL"]
+    some = ["".join(rng.choice(odd) if rng.random() < 0.4 else rng.choice("abcdeSTRE '.,0123") for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
+    data = [*every, *(f"a{c}b" for c in every), *(f"{c}{c.lower()} {c}" for c in every), *some]
+    for k in range(0, len(data), 64):
+        for t, ids in zip(data[k : k + 64], enc.encode(data[k : k + 64])):
+            assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_op1_rank_and_select():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 511, 512, 513, 5000):
+        for share in (0, 0.02, 0.5, 1):
+            bits = rng.random(n) < share
+            plane = wavelet.BitPlane(np.packbits(bits, bitorder="little").tobytes(), n)
+            assert (plane.rank1(np.arange(n + 1)) == np.concatenate([[0], np.cumsum(bits)])).all()
+            for bit in (0, 1):
+                where = np.flatnonzero(bits == bit)
+                assert (plane.select(np.arange(len(where)), bit) == where).all()
+            assert plane.before.nbytes <= 16 + n // 8
+
+
 def like(a, b):
     return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
 
@@ -234,7 +263,6 @@ def test_op5_packs_everything(docs, none):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     got = plain(packing.pack(docs, path, 512))
     want, total = [], 0
     for i, t, *_ in rows():
