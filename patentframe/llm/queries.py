@@ -66,10 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_runs": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at_ FROM documents),
-n AS (SELECT doc_id, at_, trim(x, ' ') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS pos, len(string_split_regex(trim(x, ' '), '\s+')) AS w FROM l WHERE trim(x, ' ') <> ''),
-c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM n),
-pairs AS (SELECT a.doc_id, a.pos AS p, b.pos AS q FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.s - a.s + a.w >= 50),
-win AS (SELECT doc_id, p, min(q) AS q FROM pairs GROUP BY doc_id, p UNION SELECT doc_id, max(p) AS p, q FROM pairs GROUP BY doc_id, q),
+n AS (SELECT doc_id, at_, regexp_replace(x, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS pos,
+  len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) AS w FROM l WHERE regexp_matches(x, '[^ \t\n\x0B\f\r]')),
+r AS (SELECT *, count(*) OVER (PARTITION BY x) > 1 AS again FROM n),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS s, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM r),
+win AS (SELECT a.doc_id, a.pos AS p, b.pos AS q FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.again AND b.again AND a.island = b.island AND b.pos BETWEEN a.pos AND a.pos + 59 AND b.s - a.s + a.w >= 50),
 runs AS (SELECT win.doc_id, p, q, min(at_) AS low, max(at_) AS high, string_agg(x, chr(10) ORDER BY pos) AS k FROM win JOIN c ON c.doc_id = win.doc_id AND pos BETWEEN p AND q GROUP BY win.doc_id, p, q),
 firsts AS (SELECT *, min({'d': doc_id, 'p': p}) OVER (PARTITION BY k) AS f FROM runs),
 gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS at_ FROM firsts WHERE doc_id <> f.d OR p >= f.p + q - p + 1),

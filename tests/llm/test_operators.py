@@ -207,19 +207,29 @@ def test_op3_perfect_hash_is_minimal():
     assert (table.find([b"x%d" % k for k in range(1000)]) == -1).all()
 
 
+def solid_lines(text):
+    """(number, trimmed line, words) of the lines that aren't blank."""
+    found = [(k, x.strip(" \t\n\x0b\x0c\r"), len(re.findall("[^ \t\n\x0b\x0c\r]+", x))) for k, x in enumerate(text.split("\n"))]
+    return [x for x in found if x[2]]
+
+
+def document_order(data):
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    return sorted({(i, t or "") for i, t in data}, key=lambda r: (r[0] is not None, r[0] or 0, sign(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+
+
 def brute_runs(data, least):
     """Removed lines of each distinct (id, text), by comparing all runs."""
-    sign = lambda x: x - (1 << 64) if x >> 63 else x
-    keyed = sorted({(i, t or "") for i, t in data}, key=lambda r: (r[0] is not None, r[0] or 0, sign(xxhash.xxh64_intdigest(r[1].encode(), 42))))
-    lines = [[(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")] for _, t in keyed]
+    keyed = document_order(data)
+    lines = [solid_lines(t) for _, t in keyed]
     where = defaultdict(list)
     for n, own in enumerate(lines):
         for a in range(len(own)):
             total = 0
             for b in range(a, min(len(own), a + 60)):
-                total += len(own[b][1].split())
+                total += own[b][2]
                 if total >= least:
-                    where[tuple(x for _, x in own[a : b + 1])].append((n, a))
+                    where[tuple(x for _, x, _ in own[a : b + 1])].append((n, a))
     gone = defaultdict(set)
     for run, places in where.items():
         first = min(places)
@@ -229,6 +239,40 @@ def brute_runs(data, least):
     return {key: gone[n] for n, key in enumerate(keyed)}
 
 
+def brute_maximal_runs(data, least):
+    """Removed lines of each distinct (id, text): of every pair of places, the run they share as far as it goes."""
+    keyed = document_order(data)
+    lines = [solid_lines(t) for _, t in keyed]
+    where = defaultdict(list)
+    for n, own in enumerate(lines):
+        for a, (_, x, _) in enumerate(own):
+            where[x].append((n, a))
+    gone = {key: set() for key in keyed}
+    for places in where.values():
+        for k, (n, a) in enumerate(places):
+            for n2, b in places[k + 1 :]:
+                size = 0
+                while a + size < len(lines[n]) and b + size < len(lines[n2]) and lines[n][a + size][1] == lines[n2][b + size][1] and (n != n2 or size < b - a):
+                    size += 1
+                if sum(w for *_, w in lines[n][a : a + size]) >= least:
+                    gone[keyed[n2]] |= set(range(lines[n2][b][0], lines[n2][b + size - 1][0] + 1))
+    return gone
+
+
+def line_docs(rng, n, ends=("\n",)):
+    """Documents of lines from a small pool, in runs, with blank lines and line ends of several kinds."""
+    pool = [words(rng, rng.choice([1, 4, 9, 20])) for _ in range(12)]
+    data = []
+    for k in range(n):
+        own = []
+        while len(own) < rng.randint(3, 30):
+            a = rng.randrange(len(pool))
+            own += pool[a : a + rng.randint(1, 6)] if rng.random() < 0.6 else [words(rng, 9)]
+            own += ["", "\t", " \x0b"][: rng.randint(0, 3)] if rng.random() < 0.2 else []
+        data.append((k, "".join(x.replace(" ", rng.choice([" ", "\t"]), 1) + rng.choice(ends) for x in own)))
+    return data
+
+
 def test_op4_against_all_runs(docs, none):
     gone = brute_runs([r[:2] for r in rows()], 50)
     want = []
@@ -239,23 +283,65 @@ def test_op4_against_all_runs(docs, none):
     assert sum(r["n_removed"] for r in want) > 10
     same_rows(plain(linededup.remove_runs(docs)), want)
     assert linededup.remove_runs(none).count() == 0
+    assert linededup.drop_runs(none).count() == 0 and linededup.drop_runs(none).columns == none.columns
     left = linededup.drop_runs(docs)
     assert left.columns == docs.columns and all(r["n_chars"] in (1, len(r["text"] or "")) for r in plain(left))
 
 
-def test_op4_maximal_runs_random(spark):
-    rng = random.Random(11)
-    pool = [words(rng, rng.choice([1, 4, 9, 20])) for _ in range(12)]
-    data = []
-    for k in range(40):
-        own = []
-        while len(own) < rng.randint(3, 30):
-            a = rng.randrange(len(pool))
-            own += pool[a : a + rng.randint(1, 6)] if rng.random() < 0.6 else [words(rng, 9)]
-        data.append((k, "\n".join(own)))
-    gone = brute_runs(data, 25)
-    got = {r["doc_id"]: r["removed"] for r in plain(linededup.remove_runs(spark.createDataFrame(data, "doc_id long, text string"), 25))}
-    assert got == {i: ",".join(map(str, sorted(gone[i, t]))) for i, t in data} and any(got.values())
+def removed(spark, data, least):
+    return {r["doc_id"]: r["removed"] for r in plain(linededup.remove_runs(spark.createDataFrame(data, "doc_id long, text string"), least))}
+
+
+def shown(gone, data):
+    return {i: ",".join(map(str, sorted(gone[i, t]))) for i, t in data}
+
+
+@pytest.mark.parametrize("part_rows", [400_000, 40])
+def test_op4_maximal_runs_random(spark, part_rows, monkeypatch):
+    """By all runs and by maximal runs of pairs, for an array in few partitions and in many."""
+    monkeypatch.setattr(linededup, "PART_ROWS", part_rows)
+    monkeypatch.setattr(linededup.later_runs, "__defaults__", (part_rows,))
+    data = line_docs(random.Random(11), 40, ("\n", "\r\n", " \n\r\n"))
+    want = shown(brute_runs(data, 25), data)
+    assert removed(spark, data, 25) == want == shown(brute_maximal_runs(data, 25), data) and sum(map(bool, want.values())) > 10
+
+
+def test_op4_counts_words_whatever_the_line_ends(spark):
+    """Blank lines of returns are no words, and a copy of 40 words is kept with any line ends, one of 50 goes."""
+    rng = random.Random(21)
+    a, b = words(rng, 30), words(rng, 30)
+    forty, fifty = [[words(rng, 10) for _ in range(n)] for n in (4, 5)]
+    data = [(1, a + "\r\n" * 30), (2, b + "\r\n" * 30)]
+    for k, end in enumerate(("\n", "\r\n", "\t\r\n", "\x0c\n")):
+        data += [(10 + 4 * k, end.join(forty) + end), (11 + 4 * k, words(rng, 5) + end + end.join(forty) + end), (12 + 4 * k, end.join(fifty)), (13 + 4 * k, words(rng, 5) + end + end.join(fifty))]
+    got = removed(spark, data, 50)
+    assert got == shown(brute_maximal_runs(data, 50), data) and got[2] == "" and got[11] == "" and got[13] == "1,2,3,4,5"
+
+
+def test_op4_intervals_across_partitions():
+    """However the array is cut, what is shared across the cuts is met."""
+    rng = random.Random(9)
+    rows = set()
+    for k in range(160):
+        tail = b"".join(rng.choice([1, 2]).to_bytes(8, "big") for _ in range(rng.randint(0, 5)))
+        rows.add(((2, rng.randint(0, 2), 0), tail, (True, rng.randint(0, 60), 0, rng.randint(0, 9))))
+    rows = sorted(rows)
+    whole = linededup.longest_earlier(rows)
+    for key, tail, place in rows:  # by all pairs
+        best = 0
+        for key2, tail2, place2 in rows:
+            if key == key2 and place2 < place:
+                lines = 2 + linededup.common(tail, tail2)
+                best = max(best, lines if place[:3] != place2[:3] else min(lines, place[3] - place2[3]))
+        assert whole[rows.index((key, tail, place))] == (best if best >= 2 else 0)
+    for _ in range(30):
+        cuts = sorted(rng.sample(range(1, len(rows)), rng.randint(1, 60)))
+        parts = [rows[x:y] for x, y in zip([0, *cuts], [*cuts, len(rows)])]
+        ends = [{"first": p[0][:2], "last": p[-1][:2], "first_mins": linededup.shared_with(p[0], p), "last_mins": linededup.shared_with(p[-1], p[::-1])} for p in parts]
+        got = []
+        for (before, after), p in zip(linededup.outside(ends), parts):
+            got += linededup.longest_earlier([*before, *p, *after])[len(before) : len(before) + len(p)]
+        assert got == whole
 
 
 def test_op5_packs_everything(docs, none):
