@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made and set.
+    Only where that setting is missing and Spark runs on one machine, a temporary folder is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="patentframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

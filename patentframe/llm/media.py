@@ -1,7 +1,7 @@
 """Operator 6: content-addressed media in tar shards.
 
-Payloads are stored as lossless 8-bit grey PNG images, one member for each distinct payload of a task, named by its
-SHA-256. Rows carry digest, offset and length; metadata columns come from a range read of the PNG header alone.
+Payloads are stored as lossless 8-bit grey PNG images, one member for each distinct payload, named by its SHA-256. Rows carry
+digest, shard, offset and length; metadata columns come from a range read of the PNG header alone.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WIDTH = 192
 #: Fixed values of the PNG format: signature, and length of the signature with the header chunk.
 SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
 ENTRIES = "id long, n_bytes long, digest string, path string, offset long, length long"
+#: Payloads with copies of which at most so many are broadcast (about 50 bytes each), so that one row of each stores it.
+BROADCAST_ROWS = 250_000
 
 
 def pad(data: bytes) -> bytes:
@@ -67,54 +69,68 @@ def feature(payload: bytes) -> str:
 
 
 def store(docs: DataFrame, out_dir: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20) -> DataFrame:
-    """Write payloads to tar shards; a row for each document with the place of its payload in its task's shard.
+    """Write payloads to tar shards; a row for each document with its payload's digest, and with the place if it stored it.
 
-    Null texts are empty (a payload of spaces). Equal payloads of a task share a member, so a text held by a third of
-    all rows is stored once a task. Repeated rows and null ids are kept as rows; an empty table writes no shard.
+    Null texts are empty (a payload of spaces). Digests are met first: of rows with equal payloads those of the least id store
+    theirs and the others have no place (``canonical`` tells it), so a text held by a third of all rows is stored once. If
+    over ``BROADCAST_ROWS`` payloads have copies, every row stores its own. Either way a shard has one member a payload.
+    Repeated rows and null ids are kept as rows; an empty table writes no shard.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, shard, waiting = TaskContext.get().partitionId(), 0, bytearray(), []
-        known: dict[bytes, tuple[str, int, int]] = {}
+        known: dict[str, tuple[str, int, int]] = {}  # of the shard at hand
         where = lambda: f"{out_dir}/media-{part:06d}-{seq:06d}.tar"
 
-        def flush() -> pa.RecordBatch:
-            nonlocal seq, shard, waiting
+        def close() -> None:
+            nonlocal seq, shard
             if shard:
                 C.write_file(where(), bytes(shard) + bytes(1024))
                 seq, shard = seq + 1, bytearray()
+                known.clear()
+
+        def passed_on() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*waiting), kinds)], ["id", "n_bytes", "digest", "path", "offset", "length"])
-            waiting = []
+            waiting.clear()
             return out
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, text, digest, own in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3))):
                 raw = text.as_py().encode()
-                payload = pad(raw)
-                digest = hashlib.sha256(payload).digest()
-                if digest not in known:
-                    image = to_png(payload)
-                    info = tarfile.TarInfo(digest.hex() + ".png")
+                if own and digest not in known:
+                    image = to_png(pad(raw))
+                    info = tarfile.TarInfo(digest + ".png")
                     info.size = len(image)
                     shard += info.tobuf(tarfile.USTAR_FORMAT)
                     known[digest] = where(), len(shard), len(image)
                     shard += image + bytes(-len(image) % 512)
-                waiting.append((i, len(raw), digest.hex(), *known[digest]))
+                waiting.append((i, len(raw), digest, *(known[digest] if own else (None, None, None))))
                 if len(shard) >= shard_bytes:
-                    yield flush()
-            if len(waiting) >= 10_000:
-                yield flush()
+                    close()
+                if len(waiting) >= 10_000:
+                    yield passed_on()
+        close()
         if waiting:
-            yield flush()
+            yield passed_on()
 
+    size = F.octet_length("text")
+    padding = F.greatest(F.ceil(size / WIDTH), F.lit(1)) * WIDTH - size
     rows = C.ids_and_texts(docs, id_col, text_col).select(F.col("id").cast("long"), "text")
+    rows = rows.withColumn("digest", F.sha2(F.concat("text", F.repeat(F.lit(" "), padding.cast("int"))), 256))
+    shared = rows.groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("shared"), "owner")
+    shared = C.stage_table(shared, "media-shared")
+    if shared.count() <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(shared), F.col("digest") == F.col("shared"), "left")
+        rows = met.select("id", "text", "digest", (F.col("shared").isNull() | F.col("id").eqNullSafe(F.col("owner"))).alias("own"))
+    else:
+        rows = rows.withColumn("own", F.lit(True))
     return C.stage_table(rows.mapInArrow(write, ENTRIES), "media-entries")
 
 
-READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int"
+READ = "digest string, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int"
 
 
 def read_media(places: DataFrame, whole: bool = True) -> DataFrame:
@@ -128,15 +144,15 @@ def read_media(places: DataFrame, whole: bool = True) -> DataFrame:
                 if p != path:
                     fs, local = C.filesystem(p)
                     path, file = p, fs.open_input_file(local)
-                head = png_header(file.read_at(min(HEADER_BYTES, length), offset))
+                head, place = png_header(file.read_at(min(HEADER_BYTES, length), offset)), (digest, p.rpartition("/")[2], offset, length)
                 if whole:
                     image = file.read_at(length, offset)
                     payload = from_png(image)
-                    rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload), *head))
+                    rows.append((*place, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload), *head))
                 else:
-                    rows.append((digest, head[0] * head[1], None, None, length, None, None, *head))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 10, kinds)], [x.split()[0] for x in READ.split(", ")])
+                    rows.append((*place, head[0] * head[1], None, None, length, None, None, *head))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 13, kinds)], [x.split()[0] for x in READ.split(", ")])
 
     spread = places.select("digest", "path", "offset", "length").repartitionByRange(C.partitions(places.sparkSession), "path", "offset").sortWithinPartitions("path", "offset")
     return spread.mapInArrow(read, READ)
@@ -144,11 +160,15 @@ def read_media(places: DataFrame, whole: bool = True) -> DataFrame:
 
 def canonical(entries: DataFrame) -> DataFrame:
     """One stored place for each digest."""
-    return entries.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).select("digest", "at.*")
+    return entries.where("path is not null").groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
 def media_columns(docs: DataFrame, out_dir: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store, read back, and give every document the columns of its payload; equal texts get equal values."""
+    """Store, read back, and give every document its payload's columns, with digest, shard (a file name), offset and length.
+
+    Equal texts get equal values. Width, height and depth are of the header's range read, the others of the payload's. Null
+    texts are empty; null ids and repeated rows are rows like any other; an empty table gives none.
+    """
     entries = store(docs, out_dir, id_col, text_col)
     found = read_media(canonical(entries))
-    return entries.select(F.col("id").alias("doc_id"), "n_bytes", "digest").join(found, "digest").drop("digest")
+    return entries.select(F.col("id").alias("doc_id"), "n_bytes", "digest").join(found, "digest")
