@@ -23,7 +23,8 @@ WORDS = re.compile(r"\w+|[^\w\s]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``most``: labelled rows that training takes at most, those with the smallest hash of their id."""
+    """Training takes at most ``most`` labelled ids, those with the smallest hash, one document of each, and of these, in the
+    same order, as many as have ``most_features`` distinct features together (8 bytes each), the first in any case."""
 
     bits: int = 18
     alpha: float = 0.2
@@ -32,6 +33,7 @@ class Settings:
     l2: float = 0.5
     epochs: int = 4
     most: int = 6000
+    most_features: int = 12_000_000
 
 
 def shape(word: str) -> str:
@@ -104,13 +106,16 @@ def held_out(key) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights from labelled rows that are not held out.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest holds; without any label
-    all weights are 0. At most ``s.most`` rows are broadcast, hashed where their texts are, and met by one task.
+    Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest holds, and of several
+    documents the one with the smallest hash of its text. Without any labelled document all weights are 0. The sample's ids and
+    labels are broadcast, its texts are hashed where they meet, and one task trains on the features; ``s`` bounds both.
     """
     known = labels.select(F.col(label_col).cast("int").alias("y"), F.col(id_col).alias("key")).where(F.col("y").isin(0, 1) & F.col("key").isNotNull() & ~held_out("key"))
     sample = known.groupBy("key").agg(F.max("y").alias("y")).withColumn("order", F.xxhash64("key")).orderBy("order", "key").limit(s.most)
     rows = C.ids_and_texts(docs, id_col, text_col)
-    picked = rows.join(F.broadcast(sample), rows["id"] == sample["key"]).select("order", F.xxhash64("text").alias("tie"), "y", "text")
+    met = rows.join(F.broadcast(sample), rows["id"] == sample["key"])
+    # a task passes on one document of an id, however many it has
+    picked = met.groupBy("order", "key", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("order", F.xxhash64("text").alias("tie"), "y", "text")
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(s.bits)
@@ -134,9 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         weights = train_ftrl([(np.frombuffer(i, "<i4"), np.frombuffer(x, "<f4").astype(float), y) for _, _, y, i, x in got], s)
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()]})
 
-    hashed = picked.mapInArrow(hash_texts, "order long, tie long, y int, i binary, x binary")
-    got = hashed.repartition(1).mapInArrow(train, "weights binary").collect()
-    return np.frombuffer(got[0]["weights"], "<f4") if got else np.zeros((1 << s.bits) + 1, np.float32)
+    hashed = C.stage_table(picked.mapInArrow(hash_texts, "order long, tie long, y int, i binary, x binary"), "training-rows")
+    sizes = sorted((r["order"], r["n"]) for r in hashed.select("order", (F.octet_length("i") / 4).alias("n")).collect())
+    ends = np.cumsum([n for _, n in sizes])
+    taken = max(1, int(np.searchsorted(ends, s.most_features, side="right")))
+    if not sizes:
+        return np.zeros((1 << s.bits) + 1, np.float32)
+    got = hashed.where(F.col("order") <= sizes[min(taken, len(sizes)) - 1][0]).repartition(1).mapInArrow(train, "weights binary").collect()
+    return np.frombuffer(got[0]["weights"], "<f4")
 
 
 class Scorer:
@@ -150,7 +160,11 @@ class Scorer:
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null texts are scored as empty ones, by the bias alone."""
+    """doc_id, held_out, score, predicted of every row.
+
+    Null texts are scored as empty ones, by the bias alone; null ids aren't held out. Rows are scored each by its text, so repeated rows
+    get equal scores and long texts count whole; an empty table gives no rows. Other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights)
@@ -163,7 +177,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns; null texts are empty, repeated rows stay or go together,
+    an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -425,24 +425,60 @@ def test_op6_reads_back(spark, docs, none):
         raw = (t or "").encode()
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         image = media.to_png(payload)
-        want.append({"doc_id": i, "n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(), "feature": media.feature(payload), "width": 192, "height": len(payload) // 192})
+        assert read_image(image)[2] == payload
+        want.append({"doc_id": i, "n_bytes": len(raw), "digest": hashlib.sha256(payload).hexdigest(), "length": len(image), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(), "feature": media.feature(payload), "width": 192, "height": len(payload) // 192})
     same_rows(got, want)
     assert media.media_columns(none, C.new_dir(spark, "m")).count() == 0
 
 
-def test_op6_headers_alone_and_shards(spark, docs):
+def read_image(data):
+    """Width, height and samples of a grey image, from the format's description: every row begins with its filter, 0."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, defaultdict(bytes)
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        parts[kind] += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    width, height = (int.from_bytes(parts[b"IHDR"][k : k + 4], "big") for k in (0, 4))
+    assert parts[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0])
+    raw = zlib.decompress(parts[b"IDAT"])
+    lines = [raw[k : k + width + 1] for k in range(0, len(raw), width + 1)]
+    assert len(lines) == height and all(x[0] == 0 for x in lines)
+    return width, height, b"".join(x[1:] for x in lines)
+
+
+def test_op6_images_and_features_by_description():
+    rng = random.Random(4)
+    for n in (1, 2, 30):
+        payload = bytes(rng.randrange(256) for _ in range(192 * n))
+        assert read_image(media.to_png(payload)) == (192, n, payload)
+        mean, shares = media.feature(payload).split(":")
+        assert float(mean) == round(sum(payload) / len(payload), 4) and bytes.fromhex(shares) == bytes(sum(x // 16 == k for x in payload) * 255 // len(payload) for k in range(16))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_op6_headers_alone_and_shards(spark, docs, broadcast, monkeypatch):
     import tarfile
 
+    monkeypatch.setattr(media, "BROADCAST_ROWS", 250_000 if broadcast else -1)
     out = C.new_dir(spark, "m")
     entries = media.store(docs, out, shard_bytes=4096)
     heads = {r["digest"]: r for r in plain(media.read_media(media.canonical(entries), whole=False))}
+    assert {hashlib.sha256((t or "").encode().ljust(max(1, -(-len((t or "").encode()) // 192)) * 192)).hexdigest() for _, t, *_ in rows()} == set(heads)
     for r in plain(entries):
         assert heads[r["digest"]]["height"] * 192 == heads[r["digest"]]["payload_bytes"] >= r["n_bytes"]
-    for path in {r["path"] for r in plain(entries)}:
+    names = []
+    for path in {r["path"] for r in plain(entries) if r["path"]}:
         with tarfile.open(path.removeprefix("file://")) as t:
             for m in t:
-                payload = media.from_png(t.extractfile(m).read())
+                payload = read_image(t.extractfile(m).read())[2]
                 assert m.name == hashlib.sha256(payload).hexdigest() + ".png"
+                names.append((path, m.name))
+    assert len(names) == len(set(names)) and len(set(names)) > 3
+    if broadcast:  # equal rows of the least id may store a payload in two shards; others store it once
+        repeated = {hashlib.sha256(media.pad((t or "").encode())).hexdigest() + ".png" for i, t, *_ in rows() if sum(r[:2] == (i, t) for r in rows()) > 1}
+        assert all(n == 1 or name in repeated for name, n in Counter(name for _, name in names).items())
 
 
 def brute_components(fps, radius):
@@ -639,6 +675,59 @@ def test_op9_held_out_accuracy(spark):
     assert all(held == (zlib.crc32(str(i).encode()) % 5 == 0) for i, held in zip(got.doc_id, got.held_out))
 
 
+def plain_features(text, bits):
+    """Feature to value: words and shapes, alone and in neighbouring pairs, each over the root of how many there are of its kind."""
+    found = re.findall(r"\w+|[^\w\s]+", text)
+    out = defaultdict(float)
+    for seed, of in ((1, lambda w: w), (2, quality.shape)):
+        h = [xxhash.xxh3_64_intdigest(of(w), seed) for w in found]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 for a, b in zip(h, h[1:])]
+        for kind in (h, pairs):
+            for x in kind:
+                out[(x * 0xD6E8FEB86659FD93) % 2**64 >> (64 - bits)] += 1 / max(1, len(kind)) ** 0.5
+    return dict(out)
+
+
+def plain_ftrl(data, s):
+    """Weights by feature, None for the bias, one feature at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= s.l1 else -(z[i] - (s.l1 if z[i] > 0 else -s.l1)) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+    for _ in range(s.epochs):
+        for features, y in data:
+            x = features | {None: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                step = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha
+                z[i] += g - step * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_op9_against_plain_ftrl(spark):
+    """Weights and scores equal those of dictionaries; one document of an id counts, and the bounds hold in hash order."""
+    rng = random.Random(6)
+    data = [(k, f"{words(rng, rng.randint(0, 40))}. {'GOOD Stuff 12' if k % 3 else 'bad, bad!'} {words(rng, 5)}") for k in range(60)]
+    docs = spark.createDataFrame(data + [(7, data[7][1] + " other"), *[data[8]] * 50], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(55)], "doc_id long, quality int")
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    order = lambda k: sign(xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42))
+    text = dict(data) | {7: min((data[7][1], data[7][1] + " other"), key=lambda t: sign(xxhash.xxh64_intdigest(t, 42)))}
+    known = sorted((k for k in range(55) if zlib.crc32(str(k).encode()) % 5), key=order)
+    features = {k: plain_features(text[k], 12) for k in known}
+    for s, n in ((quality.Settings(bits=12), len(known)), (quality.Settings(bits=12, most=20), 20), (quality.Settings(bits=12, most_features=sum(len(features[k]) for k in known[:9]) + 1), 9), (quality.Settings(bits=12, most_features=1), 1)):
+        want, got = plain_ftrl([(features[k], int(k % 3 > 0)) for k in known[:n]], s), quality.fit(docs, labels, s)
+        every = np.zeros((1 << 12) + 1)
+        for i, w in want.items():
+            every[-1 if i is None else i] = w
+        assert np.abs(every - got).max() < 1e-5
+        scores = {r["doc_id"]: r["score"] for r in plain(quality.score(docs.where("doc_id > 8"), got))}
+        for k, score in scores.items():
+            x = plain_features(data[k][1], 12)
+            assert score == pytest.approx(1 / (1 + np.exp(-(sum(every[i] * v for i, v in x.items()) + every[-1]))), abs=1e-5)
+
+
 def test_op9_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(k, k % 2, None) for k in range(0, 90, 3)] + [(3, 1, 0), (None, 1, 0), (6, None, 0), (9, 7, 0)], "doc_id long, quality int, toxic int")
     weights = quality.fit(docs, labels)
