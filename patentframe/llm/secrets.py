@@ -1,8 +1,10 @@
 """Operator 10: secret scans through a trigram inverted index, by SQL functions alone.
 
 Every rule's regular expression gives a Boolean query over trigrams that each of its matches must hold. One pass over
-the texts writes the postings of those trigrams and scans for rules without mandatory ones; postings are intersected by
-document, and the candidates alone are verified by the expressions themselves.
+the texts meets those trigrams and scans for rules without mandatory ones. The index is a folder of postings for each
+trigram: sorted document keys, in as many files as its length asks for. A query is a union of intersections: the rarest
+trigram's postings give candidates, the other postings are read for them. Candidates alone are verified by the
+expressions themselves.
 """
 
 from __future__ import annotations
@@ -114,10 +116,51 @@ def trigrams(q: Query) -> set[str]:
     return {q} if isinstance(q, str) else set().union(*map(trigrams, q[1])) if isinstance(q, tuple) else set()
 
 
-def _holds(q: Query, bit: dict[str, int], mask: Column) -> Column:
+def conjunctions(q: Query, most: int = 64) -> list[frozenset[str]]:
+    """The query as a union of intersections, of which none holds another; [] if nothing is mandatory.
+
+    Where an ``and`` would multiply to over ``most``, its widest parts are left out: more candidates, no fewer matches.
+    """
+    if q is True:
+        return []
     if isinstance(q, str):
-        return mask.bitwiseAND(F.lit(1 << bit[q])) != 0
-    return reduce((lambda a, b: a & b) if q[0] == "and" else (lambda a, b: a | b), [_holds(x, bit, mask) for x in q[1]])
+        return [frozenset([q])]
+    parts = sorted((conjunctions(x, most) for x in q[1]), key=len)
+    if q[0] == "or":
+        found = [c for p in parts for c in p]
+    else:
+        found = parts[0]
+        for p in parts[1:]:
+            if len(found) * len(p) <= most:
+                found = [a | b for a in found for b in p]
+    found = sorted(set(found), key=lambda c: (len(c), sorted(c)))
+    return [c for k, c in enumerate(found) if not any(b < c for b in found[:k])]
+
+
+def trigram_pattern(wanted: set[str], wide: int = 5) -> str:
+    """A Java expression that meets every wanted trigram at every place, as group 1, without consuming anything.
+
+    A tree over the characters; where one has more than ``wide`` branches, classes ahead of groups of them are tried first.
+    """
+    def one(c: str) -> str:
+        return c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+    def of(chars) -> str:
+        return f"[{''.join(map(one, chars))}]" if len(chars) > 1 else one(*chars)
+
+    def tree(strings: list[str]) -> str:
+        if len(strings[0]) == 1:
+            return of(strings)
+        by: dict[str, list[str]] = {}
+        for x in strings:
+            by.setdefault(x[0], []).append(x[1:])
+        branches = [(c, one(c) + tree(rest)) for c, rest in by.items()]
+        if len(branches) > wide:
+            branches = [branches[k : k + wide] for k in range(0, len(branches), wide)]
+            branches = [("", f"(?={of([c for c, _ in part])})(?:{'|'.join(x for _, x in part)})") for part in branches]
+        return f"(?:{'|'.join(x for _, x in branches)})" if len(branches) > 1 else branches[0][1]
+
+    return f"(?=({tree(sorted(wanted))}))"
 
 
 def spans(text: str, number: int, rule: Rule) -> Column:
@@ -131,55 +174,101 @@ def spans(text: str, number: int, rule: Rule) -> Column:
     return F.expr(f"aggregate({pieces}, named_struct('at', 0, 'out', {empty}), (a, x) -> if(x.m is null, a, {step}), a -> a.out)")
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All rows as (id, hash), and (id, hash, found) of the texts with matches: spans by start, then rule.
+EMPTY = "cast(array() as array<struct<start:int,number:int,end:int,kind:string>>)"
+
+
+def build_index(first: DataFrame) -> DataFrame:
+    """The postings (trigram as hexadecimal bytes, id, hash) in a folder for each trigram, sorted by document.
+
+    A trigram that many documents hold has several files of neighbouring documents; none is gathered in one row or task.
+    """
+    spark, path = first.sparkSession, C.new_dir(first.sparkSession, "trigram-postings")
+    postings = first.select(F.explode("trigrams").alias("t"), "id", "hash").withColumn("t", F.lower(F.hex("t")))
+    ordered = postings.repartitionByRange("t", "id", "hash").sortWithinPartitions("t", "id", "hash")
+    ordered.write.partitionBy("t").parquet(path)
+    return spark.read.schema(ordered.select("id", "hash", "t").schema).parquet(path)
+
+
+def find_candidates(index: DataFrame, queries: list[Query]) -> DataFrame:
+    """(id, hash, rules): the documents whose postings satisfy queries, and the numbers of those.
+
+    Of each intersection the rarest postings are read first; the others are read for the documents found there alone.
+    Only a count for each trigram reaches the driver.
+    """
+    spark = index.sparkSession
+    code = lambda t: t.encode().hex()
+    counts = {r["t"]: r["n"] for r in index.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    sets = [(k, sorted(map(code, c), key=lambda t: (counts.get(t, 0), t))) for k, q in enumerate(queries) for c in conjunctions(q)]
+    sets = [(k, ts) for k, ts in sets if all(t in counts for t in ts)]
+
+    def of(lists: dict[int, list[str]]) -> DataFrame:
+        """The postings of each set's trigrams, as (set, t, id, hash)."""
+        pairs = [(n, t) for n, ts in lists.items() for t in ts]
+        read = index.where(F.col("t").isin(sorted({t for _, t in pairs})))  # other folders aren't opened
+        return read.join(F.broadcast(spark.createDataFrame(pairs, "set int, t string")), "t").select("set", "t", "id", "hash")
+
+    numbered = dict(enumerate(sets))
+    found = of({n: ts[:1] for n, (_, ts) in numbered.items()}).select("set", "id", "hash").distinct()
+    rest = {n: ts[1:] for n, (_, ts) in numbered.items() if len(ts) > 1}
+    sizes = F.broadcast(spark.createDataFrame([(n, k, len(ts)) for n, (k, ts) in numbered.items()], "set int, rule int, size int"))
+    me = ["set", "id", "hash"]
+    found = C.stage_table(found, "rarest")
+    others = of(rest).join(found.select(*(F.col(c).alias(f"_{c}") for c in me)), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in me]), "left_semi")
+    met = found.withColumn("t", F.lit("")).unionByName(others).groupBy(*me).agg(F.size(F.collect_set("t")).alias("n"))
+    return met.join(sizes, "set").where("n = size").groupBy("id", "hash").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+
+
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows as (id, hash); (id, hash, found) of the texts with matches, spans by start, then rule; (id, hash, rules) of the candidates.
 
     Texts are told apart by their id and a 64-bit hash; repeated rows share what is found. Null texts are empty.
     """
     queries = [trigram_query(r.pattern) for r in rules]
-    bit = {t: k for k, t in enumerate(sorted(set().union(*map(trigrams, queries))))}
-    if len(bit) > 62:
-        raise ValueError("more than 62 trigrams")
+    wanted = set().union(*map(trigrams, queries))
     rows = C.ids_and_texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
-    empty = F.expr("cast(array() as array<struct<start:int,number:int,end:int,kind:string>>)")
+    empty = F.expr(EMPTY)
     scanned = [F.when(F.col("text").rlike(r.pattern), spans("text", k, r)).otherwise(empty) for k, (r, q) in enumerate(zip(rules, queries)) if q is True]
-    held = F.filter(F.array(*map(F.lit, bit)), lambda t: F.contains(F.col("lower"), t))
-    first = rows.withColumn("lower", F.lower("text")).select("id", "hash", F.flatten(F.array(empty, *scanned)).alias("full"), held.alias("postings"))
-    first = C.stage_table(first, "trigram-index")
-
-    postings = first.select(F.explode("postings").alias("trigram"), "id", "hash")
-    number = F.create_map(*(x for t, k in bit.items() for x in (F.lit(t), F.lit(1 << k))))
-    masks = postings.groupBy("id", "hash").agg(F.bit_or(number[F.col("trigram")]).alias("mask"))
-    wanted = [(k, _holds(q, bit, F.col("mask"))) for k, q in enumerate(queries) if q is not True]
-    flags = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in wanted])
-    candidates = C.stage_table(masks.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), flags.alias("flags")).where("flags <> 0"), "candidates")
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(trigram_pattern(wanted)), F.lit(1))) if wanted else F.array().cast("array<string>")
+    first = C.stage_table(rows.select("id", "hash", F.flatten(F.array(empty, *scanned)).alias("full"), held.alias("trigrams")), "trigrams")
+
+    candidates = C.stage_table(find_candidates(build_index(first), queries), "candidates")
+    met = candidates.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), "rules")
     if candidates.count() <= BROADCAST_ROWS:
-        candidates = F.broadcast(candidates)
-    met = rows.join(candidates, rows["id"].eqNullSafe(F.col("id2")) & (rows["hash"] == F.col("hash2")))
-    verified = [F.when(F.col("flags").bitwiseAND(F.lit(1 << k)) != 0, spans("text", k, rules[k])).otherwise(empty) for k, _ in wanted]
-    second = met.select("id", "hash", F.flatten(F.array(*verified)).alias("found")).where(F.size("found") > 0)
+        met = F.broadcast(met)
+    met = rows.join(met, rows["id"].eqNullSafe(F.col("id2")) & (rows["hash"] == F.col("hash2")))
+    verified = [F.when(F.array_contains("rules", k), spans("text", k, rules[k])).otherwise(empty) for k, q in enumerate(queries) if q is not True]
+    second = met.select("id", "hash", F.flatten(F.array(empty, *verified)).alias("found")).where(F.size("found") > 0)
     both = second.union(first.select("id", "hash", "full").where(F.size("full") > 0))
     # a repeated row brings its spans again; per document there are as many as its text holds
     every = both.select("id", "hash", F.explode("found").alias("span")).distinct()
-    return first.select("id", "hash"), every.groupBy("id", "hash").agg(F.array_sort(F.collect_list("span")).alias("found"))
+    return first.select("id", "hash"), every.groupBy("id", "hash").agg(F.array_sort(F.collect_list("span")).alias("found")), candidates
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a count for each base rule, base_sha256 and spans of every row."""
-    rows, found = find_spans(docs, rules, id_col, text_col)
-    found = found.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), "found")
+    """doc_id, a count for each base rule, base_sha256, spans, and n_candidate (rules that the index asked to verify) of every row.
+
+    Spans that begin together are in the rules' order. Null texts are empty, null ids and repeated rows are rows like any other, other
+    columns aren't read, and an empty table gives no rows.
+    """
+    rows, found, candidates = find_spans(docs, rules, id_col, text_col)
+    # a document is in at most one row of either, so their union by document has at most two
+    both = found.select("id", "hash", "found", F.lit(0).alias("n")).unionByName(candidates.select("id", "hash", F.lit(None).alias("found"), F.size("rules").alias("n")))
+    both = both.groupBy(F.col("id").alias("id2"), F.col("hash").alias("hash2")).agg(F.first("found", ignorenulls=True).alias("found"), F.max("n").alias("n"))
     base = [k for k, r in enumerate(rules) if r.base]
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    spans_ = F.coalesce("found", F.expr("cast(array() as array<struct<start:int,number:int,end:int,kind:string>>)"))
-    rows = rows.join(found, rows["id"].eqNullSafe(F.col("id2")) & (rows["hash"] == F.col("hash2")), "left").withColumn("found", spans_)
+    rows = rows.join(both, rows["id"].eqNullSafe(F.col("id2")) & (rows["hash"] == F.col("hash2")), "left").withColumn("found", F.coalesce("found", F.expr(EMPTY)))
     count = lambda k: F.size(F.filter("found", lambda x: x["number"] == k)).cast("long").alias(f"n_{rules[k].kind}")
     counts = [count(k) for k in base]
-    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.filter("found", lambda x: x["number"].isin(base))), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    of_base = F.sha2(listed(F.filter("found", lambda x: x["number"].isin(base))), 256).alias("base_sha256")
+    return rows.select(F.col("id").alias("doc_id"), *counts, of_base, listed(F.col("found")).alias("spans"), F.coalesce("n", F.lit(0)).cast("long").alias("n_candidate"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", count_col: str | None = "n_chars") -> DataFrame:
-    """The rows with ``mark`` in place of every run of overlapping spans, and their characters counted anew in ``count_col``."""
-    _, found = find_spans(docs, rules, id_col, text_col)
+    """The rows with ``mark`` in place of every run of overlapping spans, and their characters counted anew in ``count_col``.
+
+    Null texts stay null, repeated rows are treated alike, other columns stay as they are, and an empty table stays empty.
+    """
+    _, found, _ = find_spans(docs, rules, id_col, text_col)
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hash"))
     found = found.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), "found")
     rows = rows.join(found, F.col(f"row.{id_col}").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2")), "left")

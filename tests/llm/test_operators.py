@@ -757,8 +757,11 @@ def test_op10_against_expressions(docs, none, broadcast, monkeypatch):
     got = plain(secrets.scan(docs))
     same_rows(got, want)
     assert any("pem:" in r["spans"] for r in got) and secrets.scan(none).count() == 0
+    queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES]
+    asked = Counter((i, sum(q is not True and holds(q, (t or "").lower()) for q in queries)) for i, t, *_ in rows())
+    assert asked == Counter((r["doc_id"], r["n_candidate"]) for r in got) and any(n for _, n in asked)
     left = secrets.redact(docs)
-    assert left.columns == docs.columns and left.count() == docs.count()
+    assert left.columns == docs.columns and left.count() == docs.count() and secrets.redact(none).count() == 0
     assert all(not any(brute_spans(r["text"] or "")[0]) for r in plain(left))
 
 
@@ -771,13 +774,68 @@ def test_op10_private_keys_go_whole(spark):
     assert {r["doc_id"]: r["spans"] for r in plain(secrets.scan(spark.createDataFrame(data[:1], "doc_id long, text string")))} == {1: f"pem:2:{2 + len(key)},pem:{5 + len(key)}:{5 + 2 * len(key)}"}
 
 
+def holds(q, text):
+    return q is True or (q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, text) for x in q[1]))
+
+
+def test_op10_pattern_meets_every_wanted_trigram():
+    """Whatever the branches: overlapping ones, marks of expressions, and as group 1 at each place."""
+    rng = random.Random(3)
+    for n, wide in ((1, 5), (9, 2), (60, 5), (300, 3)):
+        wanted = {"".join(rng.choice("abcdefgh -[](){}^$.*+?|\\&~#_\u00e9") for _ in range(3)) for _ in range(n)}
+        pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), secrets.trigram_pattern(wanted, wide)))
+        text = "".join(rng.choice([rng.choice(sorted(wanted)), "ab", "z"]) for _ in range(400))
+        assert [m[1] for m in pattern.finditer(text)] == [text[k : k + 3] for k in range(len(text) - 2) if text[k : k + 3] in wanted]
+
+
+def test_op10_conjunctions_are_the_query():
+    rng = random.Random(8)
+
+    def some(depth):
+        return rng.choice("abcdefgh") if not depth or rng.random() < 0.3 else (rng.choice(["and", "or"]), tuple(some(depth - 1) for _ in range(rng.randint(2, 4))))
+
+    for _ in range(200):
+        q = some(3)
+        for most in (1, 4, 64):
+            found = secrets.conjunctions(q, most)
+            for _ in range(30):
+                text = "".join(x for x in "abcdefgh" if rng.random() < 0.5)
+                met = any(all(t in text for t in c) for c in found)
+                assert met or not holds(q, text)
+                assert most < 64 or met == holds(q, text) or len(found) >= 16
+    assert secrets.conjunctions(True) == []
+
+
+def test_op10_a_hundred_rules(spark):
+    """Hundreds of trigrams, in postings of many files, and no more candidates than the queries ask for."""
+    rng = random.Random(2)
+    kinds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz_") for _ in range(8)) for _ in range(100)]
+    rules = tuple(secrets.Rule(f"k{k}", f"(?i:{kind}):[0-9]{{3,}}", base=False) for k, kind in enumerate(kinds))
+    data = []
+    for i in range(300):
+        own = [(k, rng.random() < 0.5) for k in rng.sample(range(100), rng.randint(0, 3))]
+        data.append((i, " ".join([words(rng, 4), *(f"{kinds[k].upper() if hit else kinds[k]}:{'123' if hit else 'x'}" for k, hit in own)])))
+    got = {r["doc_id"]: r for r in plain(secrets.scan(spark.createDataFrame(data, "doc_id long, text string"), rules))}
+    for i, t in data:
+        found = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t))
+        assert got[i]["spans"] == ",".join(f"k{k}:{a}:{b}" for a, k, b in found)
+        assert got[i]["n_candidate"] == sum(holds(secrets.trigram_query(r.pattern), t.lower()) for r in rules)
+
+
+def test_op10_postings_are_sorted_in_folders(spark, docs):
+    first = docs.selectExpr("doc_id as id", "xxhash64(text) as hash", "array('abc', 'x/y') as trigrams").where("text is not null").distinct()
+    index = secrets.build_index(first)
+    assert sorted((r["id"] is not None, r["id"] or 0, r["hash"], r["t"]) for r in plain(index)) == sorted((r["id"] is not None, r["id"] or 0, r["hash"], t) for r in plain(first) for t in ("616263", "782f79"))
+    assert "PartitionFilters: [isnotnull(t" in index.where("t = '616263'")._jdf.queryExecution().toString()
+    for path in {r["f"] for r in plain(index.selectExpr("_metadata.file_path as f"))}:
+        own = [(r["id"] is not None, r["id"] or 0, r["hash"]) for r in plain(spark.read.parquet(path).coalesce(1))]
+        assert own == sorted(own)
+
+
 def test_op10_queries_hold_for_all_matches():
     rng = random.Random(6)
     samples = {"assign": ["password=abcdef", "API_KEY: 'zzzzzzz", 'Token"="123456', "passwd:------"], "access": ["AKIA" + "A" * 16], "pem": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"], "github": ["ghp_" + "a" * 36]}
 
-    def holds(q, text):
-        return q is True or (q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, text) for x in q[1]))
-
     for rule in secrets.RULES:
         q = secrets.trigram_query(rule.pattern)
         assert (q is True) == (rule.kind == "hex")
