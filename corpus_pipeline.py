@@ -34,8 +34,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of at most 4096 tokens with their places in sequences; special tokens' strings in a text are text."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), special_as_text=True)
 
 
 STAGES = [

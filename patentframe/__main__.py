@@ -1,8 +1,10 @@
-"""Command line: run, download, extract, parse, import, chunk, config, queries, version."""
+"""Command line: run, download, download-file, extract, parse, import, chunk, config, queries, version."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import time
 from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession
@@ -26,6 +28,14 @@ def download_(spark: SparkSession, c: settings.Config) -> dict:
         products.unpersist()
 
 
+def download_file(spark: SparkSession, c: settings.Config) -> dict:
+    """One file by its URL, under its name below the output; without a URL there is nothing to do."""
+    rows = [(c.file_name or c.file_url.rstrip("/").rpartition("/")[2], None, c.file_url)] if c.file_url else []
+    tasks = spark.createDataFrame(rows, "file_path string, checksum string, url string")
+    got = download.download(tasks, c.output, c.skip_exists, False, c.retries, c.timeout, 1)
+    return _written(got, f"{c.output}/file-download", F.col("outcome").isin("ok", "skipped"))
+
+
 def run(spark: SparkSession, c: settings.Config) -> dict:
     """Download, unpack and parse, each below the output, as far as there is something to do."""
     got = {"download": download_(spark, c)}
@@ -47,42 +57,60 @@ def extract(spark: SparkSession, c: settings.Config) -> dict:
 
 
 def parse(spark: SparkSession, c: settings.Config) -> dict:
-    """Exchange documents of all XML files below the input to patent records; rejects beside them."""
-    good, bad = exchange.split_rejects(readers.read_exchange_documents(spark, c.input), c.reject_scope)
-    bad.select("file", "_country", "`_doc-number`", "_kind", "_status").write.mode("overwrite").parquet(c.output + "-rejects")
+    """Exchange documents of all XML files below the input to patent records; rejects, and files that can't be read, beside them.
+
+    Documents are parsed once, into a table beside the output that both are read from.
+    """
+    docs = readers.read_exchange_documents(spark, c.input)
+    docs.write.mode("overwrite").parquet(c.output + "-documents")
+    good, bad = exchange.split_rejects(spark.read.schema(docs.schema).parquet(c.output + "-documents"), c.reject_scope)
+    rejects = bad.select("file", "country", "doc_number", "kind", "status", "problem")
+    missing = readers.unreadable(readers.list_files(spark, c.input, readers.XML_FILES))
+    rejects.unionByName(missing, allowMissingColumns=True).write.mode("overwrite").parquet(c.output + "-rejects")
     return _written(exchange.patent_records(good), c.output, F.lit(True))
 
 
 def import_(spark: SparkSession, c: settings.Config) -> dict:
-    """New applications of a directory, appended to the output; all others with their outcome beside it."""
+    """New applications of a directory, appended to the output, in folders by ``partition_by`` if given; all others with
+    their outcome beside it. Counts each outcome."""
     existing = spark.read.parquet(c.existing) if c.existing else None
     good, others = applications.import_applications(readers.read_applications(spark, c.input).cache(), existing)
+    named = {"filing_year": F.year("dates.filing_date"), "decision": F.col("metadata.decision")}
+    good = good.select("*", *(named[k].alias(k) for k in c.partitions()))
+    counts = {r["outcome"]: r["n"] for r in applications.count_outcomes(good, others).collect()}
     others.write.mode("append").parquet(c.output + "-rejects")
-    return _written(good, c.output, F.lit(True), "append")
+    return _written(good, c.output, F.lit(True), "append", c.partitions()) | {"outcomes": counts}
 
 
 def chunk(spark: SparkSession, c: settings.Config) -> dict:
     """Chunks of stored applications."""
     docs = documents.documents(readers.read_stored(spark, c.input)).select("metadata.application_number", "page_content")
-    return _written(chunking.chunk_documents(docs, ["application_number"], c.split_claims, c.chunk_size, c.chunk_overlap), c.output, F.lit(True))
+    return _written(chunking.chunk_documents(docs, ["application_number"], c.split_claims, c.chunk_size, c.chunk_overlap, c.splitter), c.output, F.lit(True))
 
 
-def _written(df, path: str, ok, mode: str = "overwrite") -> dict:
+def _written(df, path: str, ok, mode: str = "overwrite", by: tuple[str, ...] = ()) -> dict:
     """Write, and give the session's counters, which are observed while it is written."""
     from pyspark.sql import Observation
 
     seen = Observation("session")
-    df.observe(seen, F.count("*").alias("total"), F.count_if(ok).alias("ok")).write.mode(mode).parquet(path)
+    df.observe(seen, F.count("*").alias("total"), F.count_if(ok).alias("ok")).write.mode(mode).partitionBy(*by).parquet(path)
     return {"total": seen.get["total"], "ok": seen.get["ok"], "status": "success" if seen.get["total"] else "empty"}
 
 
-COMMANDS = {"run": run, "download": download_, "extract": extract, "parse": parse, "import": import_, "chunk": chunk}
+def logged(path: str, command: str, begun: float, got: dict) -> None:
+    """Append a command's counters to a log of JSON lines."""
+    line = {"command": command, "at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(begun)), "seconds": round(time.time() - begun, 3), **got}
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(json.dumps(line) + "\n")
+
+
+COMMANDS = {"run": run, "download": download_, "download-file": download_file, "extract": extract, "parse": parse, "import": import_, "chunk": chunk}
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="patentframe")
     p.add_argument("command", choices=[*COMMANDS, "config", "queries", "version"])
-    p.add_argument("--config")
+    p.add_argument("--config", action="append", help="may be given again: later files win")
     for f in fields(settings.Config):
         p.add_argument("--" + f.name.replace("_", "-"))
     args = vars(p.parse_args(argv))
@@ -97,7 +125,11 @@ def main(argv: list[str] | None = None) -> int:
 
         print("\n".join(QUERIES))
     else:
-        print(COMMANDS[command](SparkSession.builder.appName("patentframe").getOrCreate(), c))
+        begun = time.time()
+        got = COMMANDS[command](SparkSession.builder.appName("patentframe").getOrCreate(), c)
+        print(got)
+        if c.log:
+            logged(c.log, command, begun, got)
     return 0
 
 

@@ -1,4 +1,4 @@
-"""Settings: defaults, then a JSON or YAML file, then PATENTFRAME_ environment variables, then command-line overrides."""
+"""Settings: defaults, then JSON or YAML files in their order, then PATENTFRAME_ environment variables, then command-line overrides."""
 
 from __future__ import annotations
 
@@ -26,6 +26,11 @@ class Config:
     timeout: int = 30
     skip_exists: bool = True
     verify_sha1: bool = True
+    file_url: str = ""
+    file_name: str = ""
+    splitter: str = "recursive"
+    partition_by: str = ""
+    log: str = ""
 
     def __post_init__(self):
         if self.reject_scope not in ("row", "file"):
@@ -38,9 +43,14 @@ class Config:
             raise ValueError("parallel must be between 1 and 30")
         if self.retries < 0 or self.timeout < 1:
             raise ValueError("retries must not be negative, and timeout at least 1 second")
+        if unknown := set(self.partitions()) - {"filing_year", "decision"}:
+            raise ValueError(f"partition_by must name filing_year or decision, not {', '.join(sorted(unknown))}")
         if not all(x.strip().isdigit() for x in self.products.split(",") if x.strip()):
             raise ValueError("products must be numbers, separated by commas")
 
+    def partitions(self) -> tuple[str, ...]:
+        return tuple(x.strip() for x in self.partition_by.split(",") if x.strip())
+
 
 def _typed(name: str, kind: str, value):
     if isinstance(value, str) and kind == "bool":
@@ -50,11 +60,11 @@ def _typed(name: str, kind: str, value):
     return int(value) if kind == "int" else value
 
 
-def load(path: str | None = None, overrides: dict | None = None, environ=os.environ) -> Config:
+def load(paths: str | list[str] | None = None, overrides: dict | None = None, environ=os.environ) -> Config:
     """Later sources win; unknown names are errors."""
     kinds = {f.name: f.type for f in fields(Config)}
     given: dict = {}
-    if path:
+    for path in [paths] if isinstance(paths, str) else paths or []:
         text = Path(path).read_text(encoding="utf-8")
         if path.endswith((".yml", ".yaml")):
             import yaml

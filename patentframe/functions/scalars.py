@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Size units, by power of 1024.
+#: Size units, by power of 1024, and the texts of sizes.
 UNITS = (
     ("", "B", "BYTE", "BYTES"),
     ("K", "KB", "KIB"),
@@ -13,11 +13,12 @@ UNITS = (
     ("G", "GB", "GIB"),
     ("T", "TB", "TIB"),
 )
+SIZE_TEXT = r"^(\d+)(?:[.,](\d+))?\s*([A-Za-z]*)$"
 
 
 def trim_space(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any kind at both ends, no-break and other wide spaces among it."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def patent_date(c: Column) -> Column:
@@ -41,14 +42,13 @@ def file_size(c: Column, strict_compat: bool = False) -> Column:
     Integer arithmetic: the decimals times the unit, divided by their power of ten. With ``strict_compat`` a number
     without decimals is 0.
     """
-    pattern = r"^(\d+)(?:[.,](\d+))?\s*([A-Za-z]*)$"
     t = trim_space(c)
-    whole, decimals, unit = (F.regexp_extract(t, pattern, k) for k in (1, 2, 3))
+    whole, decimals, unit = (F.regexp_extract(t, SIZE_TEXT, k) for k in (1, 2, 3))
     times = unit_multiplier(unit)
     number = lambda x: x.try_cast("long")
     part = F.floor(F.try_multiply(number(decimals).cast("decimal(38,0)"), times.cast("decimal(38,0)")) / F.pow(F.lit(10), F.length(decimals)).cast("decimal(38,0)")).cast("long")
     fine = F.try_add(F.try_multiply(number(whole), times), F.when(decimals == "", F.lit(0).cast("long")).otherwise(part))
-    found = t.rlike(pattern) & (F.lit(not strict_compat) | (decimals != ""))
+    found = t.rlike(SIZE_TEXT) & (F.lit(not strict_compat) | (decimals != ""))
     return F.coalesce(F.when(found, fine), F.lit(0).cast("long"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -47,26 +47,45 @@ def with_key(df: DataFrame, key: str = "publication_number") -> DataFrame:
     return df.where(F.col(key).isNotNull() & (F.col(key) != ""))
 
 
-def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by order; texts as keys should be passed as digests."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("nth", nth).where("nth = 1").drop("nth")
-
-
 def not_existing(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return df.join(existing.select(key), key, "left_anti")
 
 
-def import_applications(flat: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nested applications to insert, all other rows with their ``outcome``: skipped, duplicate, existing or rejected)."""
+def outcomes(flat: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The flat rows with ``why`` (reasons) and ``outcome``: broken, skipped (no key), existing, rejected, or valid.
+
+    Of the valid rows of a publication number the first by application number is inserted; see ``import_applications``.
+    """
     broken = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in flat.columns else F.lit(False)
     key = F.col("publication_number")
-    nth = F.row_number().over(Window.partitionBy("publication_number").orderBy("application_number"))
-    marked = flat.withColumn("why", application_reasons()).withColumn("nth", nth)
-    outcome = F.when(broken, "broken").when(key.isNull() | (key == ""), "skipped").when(F.col("nth") > 1, "duplicate")
+    marked = flat.withColumn("why", application_reasons())
+    outcome = F.when(broken, "broken").when(key.isNull() | (key == ""), "skipped")
     if existing is not None:
-        known = existing.select(F.col("metadata.publication_number").alias("publication_number")).distinct().withColumn("known", F.lit(True))
+        known = existing.select(F.col("metadata.publication_number").alias("publication_number")).where("publication_number <> ''").distinct().withColumn("known", F.lit(True))
         marked = marked.join(known, "publication_number", "left")
         outcome = outcome.when(F.col("known"), "existing")
-    marked = marked.withColumn("outcome", outcome.when(F.size("why") > 0, "rejected").otherwise("ok"))
-    return nest(marked.where("outcome = 'ok'")), marked.where("outcome <> 'ok'").select("application_number", "publication_number", "outcome", "why")
+    return marked.withColumn("outcome", outcome.when(F.size("why") > 0, "rejected").otherwise("valid")).select(*flat.columns, "why", "outcome")
+
+
+def import_applications(flat: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nested applications to insert, all other rows with their ``outcome``: broken, skipped, existing, rejected or duplicate).
+
+    A row that isn't valid never keeps a valid one of its publication number out. Duplicates are told by an aggregate of keys and
+    row hashes, so the rows of a key, of which there may be many, don't meet in a task; of equal rows one is inserted.
+    """
+    columns = ["application_number", "publication_number", "outcome", "why"]
+    marked = outcomes(flat, existing)
+    valid = marked.where("outcome = 'valid'").withColumn("row_hash", F.xxhash64(*flat.columns))
+    firsts = valid.groupBy("publication_number").agg(F.min(F.struct("application_number", "row_hash")).alias("first"))
+    met = valid.join(firsts, "publication_number")
+    is_first = F.col("application_number").eqNullSafe(F.col("first.application_number")) & (F.col("row_hash") == F.col("first.row_hash"))
+    inserted = met.where(is_first).dropDuplicates(["publication_number"])
+    later = met.where(~is_first).select("application_number", "publication_number", F.lit("duplicate").alias("outcome"), "why")
+    same = met.where(is_first).groupBy("application_number", "publication_number").agg(F.count("*").alias("n"), F.first("why").alias("why")).where("n > 1")
+    same = same.select("application_number", "publication_number", F.lit("duplicate").alias("outcome"), "why", F.explode(F.sequence(F.lit(2), "n"))).select(*columns)
+    return nest(inserted), marked.where("outcome <> 'valid'").select(*columns).unionByName(later).unionByName(same)
+
+
+def count_outcomes(inserted: DataFrame, others: DataFrame) -> DataFrame:
+    """outcome, n: how many applications were inserted and what became of the others."""
+    return inserted.select(F.lit("inserted").alias("outcome")).unionByName(others.select("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))

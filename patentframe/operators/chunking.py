@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import deque
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def split_claims(text: Column, on: bool = True, compat: bool = False) -> Column:
         before = F.transform(pieces, lambda p, k: F.concat(p, F.coalesce(F.get(marks, k), F.lit(""))))
         parts = F.when(first == 1, after).otherwise(before)
     else:
-        parts = F.split(F.regexp_replace(text, MARKER, "\u0001$1"), "\u0001")
+        parts = F.split(text, rf"(?={MARKER})(?<!\d)")  # before the first digit of a number
     parts = F.filter(F.transform(parts, trim_space), lambda x: x != "")
     return F.when(found, parts).otherwise(F.array(text))
 
@@ -63,29 +65,99 @@ def split_recursive(text: str, size: int = 1000, overlap: int = 200, separators:
     sep = next((s for s in separators if s == "" or s in text), "")
     rest = separators[separators.index(sep) + 1 :]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    total = 0  # characters of what is held, joined
 
     def flush() -> None:
         if chunk := sep.join(held).strip():
             out.append(chunk)
 
-    for piece in text.split(sep) if sep else list(text):
+    for piece in text.split(sep) if sep else text:
         if len(piece) > size and rest:
             flush()
             held.clear()
+            total = 0
             out += split_recursive(piece, size, overlap, rest)
             continue
-        if held and len(sep.join([*held, piece])) > size:
+        if held and total + len(sep) + len(piece) > size:
             flush()
-            while held and (len(sep.join(held)) > overlap or len(sep.join([*held, piece])) > size):
-                held.pop(0)
+            while held and (total > overlap or total + len(sep) + len(piece) > size):
+                total -= len(held.popleft()) + (len(sep) if held else 0)
+        total += len(piece) + (len(sep) if held else 0)
         held.append(piece)
     flush()
     return out
 
 
-#: Back ends of the splitter by name; others (sentence models) can be registered by their function.
-SPLITTERS = {"recursive": split_recursive}
+#: A splitter gives the pieces of a text, for a size and an overlap.
+Splitter = Callable[[str, int, int], list[str]]
+
+SENTENCE = re.compile(r"[^.!?]*[.!?]+[\"')\]]*\s*|[^.!?]+$")
+
+
+def split_sentences(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
+    """Sentences by their marks, packed as long as they fit; a longer one is a chunk of its own. Sentences at the end of a
+    chunk of up to ``overlap`` characters begin the next one."""
+    out: list[str] = []
+    held: deque[str] = deque()
+    total = 0
+    for sentence in SENTENCE.findall(text):
+        if held and total + len(sentence) > size:
+            out.append("".join(held))
+            while held and (total > overlap or total + len(sentence) > size):
+                total -= len(held.popleft())
+        held.append(sentence)
+        total += len(sentence)
+    out.append("".join(held))
+    return [x for x in map(str.strip, out) if x]
+
+
+def _model_splitter(name: str, package: str, load: Callable[[], Callable[[str], list[str]]]) -> Splitter:
+    """A splitter that packs a model's sentences; without its package, an error that says so."""
+    def split(text: str, size: int, overlap: int) -> list[str]:
+        try:
+            sentences = load()
+        except (ImportError, OSError, LookupError) as e:
+            raise ValueError(f"splitter {name!r} needs the package {package!r} and its model here: {e}") from e
+        return split_recursive("\n".join(sentences(text)), size, overlap, ("\n", " ", ""))
+
+    return split
+
+
+def _spacy() -> Callable[[str], list[str]]:
+    import spacy
+
+    nlp = spacy.load("en_core_web_sm")
+    return lambda text: [s.text for s in nlp(text).sents]
+
+
+def _nltk() -> Callable[[str], list[str]]:
+    import nltk
+
+    return nltk.tokenize.sent_tokenize
+
+
+def _sentence_transformers() -> Callable[[str], list[str]]:
+    from sentence_transformers import SentenceTransformer
+
+    tokenizer = SentenceTransformer("all-mpnet-base-v2").tokenizer
+    return lambda text: tokenizer.convert_ids_to_tokens(tokenizer(text)["input_ids"])
+
+
+#: Back ends of the splitter by name; more can be registered by their function.
+SPLITTERS: dict[str, Splitter] = {
+    "recursive": split_recursive,
+    "sentences": split_sentences,
+    "spacy": _model_splitter("spacy", "spacy", _spacy),
+    "nltk": _model_splitter("nltk", "nltk", _nltk),
+    "sentence_transformers": _model_splitter("sentence_transformers", "sentence-transformers", _sentence_transformers),
+}
+
+
+def splitter_named(name: str) -> Splitter:
+    if name not in SPLITTERS:
+        raise ValueError(f"unknown splitter {name!r}; there are {', '.join(SPLITTERS)}")
+    return SPLITTERS[name]
 
 
 def split_texts(df: DataFrame, text_col: str, splitter: str = "recursive", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -93,7 +165,7 @@ def split_texts(df: DataFrame, text_col: str, splitter: str = "recursive", size:
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-    split, at = SPLITTERS[splitter], df.columns.index(text_col)
+    split, at = splitter_named(splitter), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,11 +192,12 @@ def positions(df: DataFrame, keep: list[str], chunks: Column) -> DataFrame:
     return df.withColumn("all_chunks", chunks).select(*keep, F.size("all_chunks").alias("total_chunks"), F.posexplode("all_chunks").alias("chunk_index", "chunk"))
 
 
-def chunk_documents(docs: DataFrame, keep: list[str], claims: bool = True, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Chunks of documents with page_content: claims are split by number, whatever the case of their section's name."""
+def chunk_documents(docs: DataFrame, keep: list[str], claims: bool = True, size: int = 1000, overlap: int = 200, splitter: str = "recursive") -> DataFrame:
+    """Chunks of documents with page_content: claims are split by number, whatever the case of their section's name, other
+    sections by the splitter of that name."""
     rows = docs.select(*keep, F.explode(decode_sections(F.col("page_content"))).alias("section", "text")).where("text is not null and text <> ''")
     is_claims = F.lower("section") == "claims"
-    rows = split_texts(rows, "text", "recursive", size, overlap)
+    rows = split_texts(rows, "text", splitter, size, overlap)
     made = F.when(is_claims, split_claims(F.col("text"), claims)).otherwise(F.col("chunks"))
     out = positions(rows, [*keep, "section"], made)
     return out.withColumn("claim_number", F.when((F.lower("section") == "claims") & F.lit(claims), claim_number(F.col("chunk"))))

@@ -19,7 +19,7 @@ PATTERNS = {"DATE": r"\b(?:1[89]|20)\d\d\b", "MONEY": r"\$\d+(?:\.\d+)?[MBK]?",
 
 
 def pattern_backend(patterns: dict[str, str] | None = None) -> Backend:
-    compiled = [(k, re.compile(p)) for k, p in (patterns or PATTERNS).items()]
+    compiled = [(k, re.compile(p, re.ASCII)) for k, p in (patterns or PATTERNS).items()]
     return lambda text: sorted(((m.group(), label, m.start(), m.end()) for label, p in compiled for m in p.finditer(text)), key=lambda x: (x[2], x[3]))
 
 
@@ -62,13 +62,37 @@ def first_mentions(mentions: DataFrame, doc: list[str], order: list[str]) -> Dat
     return mentions.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def covering_labels(mentions: DataFrame, entities: DataFrame, doc: list[str]) -> DataFrame:
+def covering_labels(mentions: DataFrame, entities: DataFrame, doc: list[str], width: int = 64) -> DataFrame:
     """Mentions with ``label``: that of the first entity of their document that overlaps them, or null.
 
-    An equi-join by document with the overlap as a further condition, so both sides are dealt by document.
+    Spans are dealt to the stretches of ``width`` characters they touch, so only spans near each other meet, however long
+    a document is. An empty span touches nothing.
     """
-    e = entities.select(*doc, F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("label").alias("e_label"))
+    touched = lambda: F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    e = entities.select(*doc, touched().alias("stretch"), F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("label").alias("e_label"))
     m = mentions.drop("label")
-    met = m.join(e, doc, "left").withColumn("hit", (F.col("e_start") < F.col("end")) & (F.col("e_end") > F.col("start")))
-    first = F.min(F.when(F.col("hit"), F.struct("e_start", "e_end", "e_label")))
-    return met.groupBy(*m.columns).agg(first.alias("f")).select(*m.columns, F.col("f.e_label").alias("label"))
+    spans = m.select(*doc, "start", "end").distinct()
+    met = spans.select("*", touched().alias("stretch")).join(e, [*doc, "stretch"]).where((F.col("e_start") < F.col("end")) & (F.col("e_end") > F.col("start")))
+    first = met.groupBy(*doc, "start", "end").agg(F.min(F.struct("e_start", "e_end", "e_label")).alias("f"))
+    return m.join(first, [*doc, "start", "end"], "left").select(*m.columns, F.col("f.e_label").alias("label"))
+
+
+def compose(mentions: DataFrame, entities: DataFrame, chunks: DataFrame, doc: list[str], default: str = "CORE") -> DataFrame:
+    """``doc``, text, label, start, end: mentions of chains with their chains' labels, and the entities at other spans.
+
+    ``mentions`` has chain, idx, start, end, text; ``entities`` text, label, start, end; ``chunks`` chunk_id, start, end.
+    A mention belongs to the chunk it lies in, or is left out; of mentions of one span the first (by chain, idx) counts. Its own label is
+    that of the first entity that overlaps it, else that of its chain's mention 0 if both are in one chunk. Its chain's label is
+    the first such one so far, by chunk and idx; before there is one, ``default``. Entities whose span a mention has are left out.
+    """
+    at = chunks.select(*doc, "chunk_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    placed = mentions.drop("chunk_id").join(at, doc).where((F.col("start") >= F.col("c_start")) & (F.col("end") <= F.col("c_end"))).drop("c_start", "c_end")
+    own = covering_labels(placed, entities, doc)
+    main = own.where("idx = 0").select(*doc, "chain", "chunk_id", F.col("label").alias("main_label"))
+    own = own.join(main, [*doc, "chain", "chunk_id"], "left").withColumn("label", F.coalesce("label", "main_label"))
+    kept = first_mentions(own, doc, ["chain", "idx"])
+    named = coref_labels(kept, [*doc, "chain"], ["chunk_id", "idx"], default=default)
+    columns = [*doc, "text", "label", "start", "end"]
+    named = named.select(*doc, "text", F.col("chain_label").alias("label"), "start", "end")
+    plain = first_mentions(entities.select(*columns), doc, ["label", "text"])
+    return named.unionByName(plain.join(named.select(*doc, "start", "end"), [*doc, "start", "end"], "left_anti").select(*columns))

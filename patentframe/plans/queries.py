@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import scalars
 from ..operators import applications, catalog, chunking, documents, entities, exchange, graph, metrics
-from ..sources import archive, readers
+from ..sources import archive, files, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,8 +186,11 @@ def inventor_countries(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("order_key"), joined(documents.distinct_countries(F.col("inventors"))).alias("countries"))
 
 
-def _exchange_xml(spark, sf_dir):
-    """An exchange-document of each order, with line items as classifications, citations and family members."""
+def _exchange_xml(spark, sf_dir, deep: bool = False):
+    """An exchange-document of each order, with line items as classifications, citations and family members.
+
+    ``deep`` puts the lists below other elements, under a prefix that is declared nowhere.
+    """
     text = lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
     part, supp, line = (F.col(f"l_{k}") for k in ("partkey", "suppkey", "linenumber"))
     scheme = F.when(line % 3 == 0, F.lit("IPC")).otherwise(F.lit("CPCI"))
@@ -205,11 +209,16 @@ def _exchange_xml(spark, sf_dir):
     head = text("<exchange-document country=\"EP\" doc-number=\"", F.lpad((o % 100).cast("string"), 4, "0"), "\" kind=\"A1\"", F.when(o % 10 != 0, text(" status=\"", F.col("o_orderstatus"), "\"")).otherwise(F.lit("")), ">")
     body = text("<bibliographic-data><patent-classifications>", all_of("cls"), "</patent-classifications><references-cited>", all_of("cite"), "</references-cited></bibliographic-data><patent-family>", all_of("member"), "</patent-family></exchange-document>")
     rows = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select(o, (o % 500).alias("file"), F.concat(head, body).alias("xml"))
+    xml = F.concat(head, body)
+    if deep:
+        for name in ("patent-classifications", "references-cited", "patent-family"):
+            xml = F.regexp_replace(xml, f"<{name}>(.*?)</{name}>", f"<other><p:deeper n=\"1\"><{name}>$1</{name}></p:deeper></other>")
+        xml = F.regexp_replace(xml, "(</?)(patent-classification|citation|family-member|exchange-document)(?=[\\s/>])", "$1x:$2")
+    return rows.select(o, (o % 500).alias("file"), xml.alias("xml"))
 
 
-def _records(spark, sf_dir):
-    accepted, _ = exchange.split_rejects(exchange.parse_xml(_exchange_xml(spark, sf_dir)))
+def _records(spark, sf_dir, deep: bool = False):
+    accepted, _ = exchange.split_rejects(exchange.parse_xml(_exchange_xml(spark, sf_dir, deep)))
     return exchange.patent_records(accepted, ("o_orderkey",))
 
 
@@ -240,6 +249,212 @@ def exchange_family(spark, sf_dir):
     return _records(spark, sf_dir).select("o_orderkey", "patent_id", joined("family_patents").alias("family_patents"))
 
 
+@query(f"""
+WITH i AS (SELECT l_orderkey, bool_or(l_partkey % 97 = 0) AS bad, list_sort(list_distinct(list('A' || l_partkey % 50) FILTER (l_linenumber % 3 <> 0))) AS cpc, count(*) FILTER (l_linenumber % 2 = 0) AS cited,
+  list_sort(list_distinct(list('EP' || lpad(CAST(l_suppkey % 100 AS VARCHAR), 4, '0') || 'A1') FILTER (l_linenumber % 4 <> 0 AND l_suppkey % 100 <> l_orderkey % 100))) AS ids FROM lineitem GROUP BY 1)
+SELECT o_orderkey, {_ID} AS patent_id, CASE WHEN bad THEN '' ELSE coalesce(array_to_string(cpc, '|'), '') END AS cpc_list, CAST(coalesce(cited, 0) AS INTEGER) AS citations, coalesce(array_to_string(ids, '|'), '') AS family_patents
+FROM orders LEFT JOIN i ON o_orderkey = l_orderkey WHERE o_orderkey % 10 <> 0""")
+def exchange_any_depth(spark, sf_dir):
+    return _records(spark, sf_dir, deep=True).select("o_orderkey", "patent_id", joined("cpc_list").alias("cpc_list"), F.size("citations").alias("citations"), joined("family_patents").alias("family_patents"))
+
+
+def _write_texts(rows, folder: str, end: str, begin: str = "", close: str = ""):
+    """One file a task of (group, text) rows, below a folder by group; its path."""
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        parts: dict = {}
+        for b in batches:
+            for group, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts.setdefault(group, []).append(text)
+        paths = [f"{folder}/{group}/f{TaskContext.get().partitionId():05d}{end}" for group in parts]
+        for path, texts in zip(paths, parts.values()):
+            files.write_parts(path, [(begin + "".join(texts) + close).encode()])
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
+
+    return rows.mapInArrow(write, "path string")
+
+
+@query("""
+SELECT 'EP' || c_custkey || 'B' AS patent_id, 'S' || c_nationkey AS status, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'A' || c_custkey % 50 END AS cpc_list FROM customer WHERE c_custkey % 7 <> 0""")
+def exchange_files(spark, sf_dir):
+    """Documents in files of several folders, some in upper case, with prefixes, self-closing and without attributes."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("<e:exchange-document country='EP' doc-number='"), k.cast("string"), F.lit("' kind=\"B\" status=\"S"), F.col("c_nationkey").cast("string"), F.lit("\""))
+    inside = F.concat(F.lit("><a><e:patent-classification><classification-scheme scheme='CPCI'/><classification-symbol>A"), (k % 50).cast("string"), F.lit("</classification-symbol></e:patent-classification></a></e:exchange-document>\n"))
+    one = F.when(k % 14 == 0, F.lit("<e:exchange-document>x</e:exchange-document>")).when(k % 7 == 0, F.lit("<e:exchange-document country='EP'/>")).when(k % 9 == 0, F.concat(text, F.lit("/>"))).otherwise(F.concat(text, inside))
+    folder = files.work_dir(spark, "xml-files")
+    rows = table(spark, sf_dir, "customer").repartition(4, "c_custkey").select((k % 3).cast("string").alias("g"), one.alias("x"))
+    _write_texts(rows, folder, ".XML", "<?xml version='1.0'?><e:exchange-documents xmlns:e='urn:e'>", "</e:exchange-documents>").write.format("noop").mode("overwrite").save()
+    accepted, _ = exchange.split_rejects(readers.read_exchange_documents(spark, folder))
+    return exchange.patent_records(accepted).select("patent_id", "status", joined("cpc_list").alias("cpc_list"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS note FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1997-12-30'")
+def tsv_scan(spark, sf_dir):
+    folder = files.work_dir(spark, "tsv")
+    table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("note")).write.option("header", True).option("sep", "\t").csv(folder)
+    return readers.read_tsv(spark, folder, "o_orderkey long, day date, note string").where("day > date'1997-12-30'")
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def feather_scan(spark, sf_dir):
+    folder = files.work_dir(spark, "feather")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            path, sink = f"{folder}/f{TaskContext.get().partitionId():05d}.feather", pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, batches[0].schema) as f:
+                for b in batches:
+                    f.write_batch(b)
+            files.write_parts(path, [sink.getvalue().to_pybytes()])
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    written = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").repartition(4).mapInArrow(write, "path string")
+    written.write.parquet(f"{folder}/list")
+    return readers.read_feather(spark, spark.read.parquet(f"{folder}/list"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS application_number, s_name AS title, s_suppkey % 5 = 0 AS broken FROM supplier")
+def json_files(spark, sf_dir):
+    """One object a file in one folder; broken ones keep their place, other files and folders aren't read."""
+    folder = files.work_dir(spark, "json")
+    k = F.col("s_suppkey").cast("string")
+    made = F.to_json(F.struct(k.alias("application_number"), F.col("s_name").alias("title")))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("{invalid: "), k, F.lit(" "), F.col("s_name"))).otherwise(made).alias("x"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for key, text in zip(*(c.to_pylist() for c in b.columns)):
+                files.write_parts(f"{folder}/a{key}.json", [text.encode()])
+                files.write_parts(f"{folder}/below/a{key}.json", [b"{}"]) if int(key) % 50 == 0 else None
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    rows.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    got = readers.read_applications(spark, folder)
+    broken = F.col("_corrupt_record").isNotNull()
+    told = [F.regexp_extract("_corrupt_record", r"^\{invalid: (\d+) (.*)$", n) for n in (1, 2)]
+    return got.select(F.when(broken, told[0]).otherwise(F.col("application_number")).alias("application_number"), F.when(broken, told[1]).otherwise(F.col("title")).alias("title"), broken.alias("broken"))
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS application_number, year(o_orderdate) AS filing_year, c_mktsegment AS main_cpc_label FROM {_NESTED} WHERE o_orderstatus = 'F' AND c_mktsegment <> 'BUILDING'")
+def stored_applications(spark, sf_dir):
+    """Stored in folders by decision; the query opens one of them and reads two columns."""
+    folder = files.work_dir(spark, "stored")
+    nested = applications.nest(_application_rows(spark, sf_dir))
+    exchange.write_records(nested.select("*", F.col("metadata.decision").alias("decision")), folder, ("decision",))
+    rows = readers.read_stored(spark, folder, "decision = 'F' and classification.main_cpc_label <> 'BUILDING'")
+    return rows.select("metadata.application_number", F.year("dates.filing_date").alias("filing_year"), "classification.main_cpc_label")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'HOT' ELSE 'US' || o_custkey END AS pub,
+  o_orderkey % 4 = 0 AS bad, o_custkey % 5 = 0 AS known, unnest(range(CASE WHEN o_orderkey % 6 = 1 THEN 2 ELSE 1 END)) AS copy FROM orders),
+o AS (SELECT *, CASE WHEN pub IS NULL OR pub = '' THEN 'skipped' WHEN pub <> 'HOT' AND known THEN 'existing' WHEN bad THEN 'rejected' ELSE 'valid' END AS what FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY pub ORDER BY lpad(CAST(k AS VARCHAR), 12, '0'), copy) AS nth FROM o WHERE what = 'valid')
+SELECT lpad(CAST(k AS VARCHAR), 12, '0') AS application_number, pub AS publication_number, what AS outcome FROM o WHERE what <> 'valid'
+UNION ALL SELECT lpad(CAST(k AS VARCHAR), 12, '0'), pub, CASE WHEN nth = 1 THEN 'inserted' ELSE 'duplicate' END FROM n""")
+def import_outcomes(spark, sf_dir):
+    """Null, empty and hot keys, rows that aren't valid before valid ones, equal rows, and keys that are stored already."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    pub = F.when(o % 17 == 0, F.lit(None)).when(o % 19 == 0, F.lit("")).when(o % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("US"), c.cast("string")))
+    text = lambda x: F.lit(x).cast("string")
+    named = {n: text("x") for n in applications.REQUIRED} | {n: text(None) for n in (*schemas.DATE_FIELDS, "main_cpc_label", "main_ipcr_label", "uspc_class", "uspc_subclass", "examiner_name_middle")}
+    named |= {n: F.array(F.lit("A")) for n in ("cpc_labels", "ipcr_labels")} | {"filing_date": text("20140326"), "publication_number": pub, "application_number": F.lpad(o.cast("string"), 12, "0")}
+    named |= {"title": F.when(o % 4 != 0, F.lit("T")), "inventor_list": F.array().cast(f"array<{schemas.INVENTOR}>")}
+    orders = table(spark, sf_dir, "orders")
+    flat = orders.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(o % 6 == 1, 2).otherwise(1)))).select(*(x.alias(k) for k, x in named.items()))
+    stored = orders.where(c % 5 == 0).select(F.struct(F.concat(F.lit("US"), c.cast("string")).alias("publication_number")).alias("metadata"))
+    good, others = applications.import_applications(flat, stored)
+    inserted = good.select("metadata.application_number", "metadata.publication_number", F.lit("inserted").alias("outcome"))
+    return inserted.unionByName(others.select("application_number", "publication_number", "outcome"))
+
+
+_CHAINS = "SELECT user_id, event_id, event_id % 4 AS chain, event_id // 4 AS idx, CAST(event_id * 7 % 3000 AS INTEGER) AS s, CAST(event_id * 7 % 3000 + 1 + event_id % 5 AS INTEGER) AS e, event_type FROM events"
+
+
+def _spans(spark, sf_dir):
+    """Events as mentions of chains and, every third, as entities of a user's text."""
+    i = F.col("event_id")
+    at = (i * 7 % 3000).cast("int")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (i % 4).alias("chain"), F.floor(i / 4).alias("idx"), at.alias("start"), (at + 1 + (i % 5).cast("int")).alias("end"), "event_type")
+    mentions = rows.where("event_id % 3 <> 0").withColumn("text", F.concat(F.lit("m"), F.col("event_id").cast("string")))
+    found = rows.where("event_id % 3 = 0").select("user_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("text"), F.col("event_type").alias("label"), "start", "end")
+    return mentions, found
+
+
+@query(f"""
+WITH r AS ({_CHAINS}), m AS (SELECT * FROM r WHERE event_id % 3 <> 0), n AS (SELECT * FROM r WHERE event_id % 3 = 0)
+SELECT m.user_id, m.event_id, min({{'s': n.s, 'e': n.e, 'l': n.event_type}}).l AS label FROM m LEFT JOIN n ON m.user_id = n.user_id AND n.s < m.e AND n.e > m.s GROUP BY ALL""")
+def covering_labels(spark, sf_dir):
+    mentions, found = _spans(spark, sf_dir)
+    return entities.covering_labels(mentions, found, ["user_id"]).select("user_id", "event_id", "label")
+
+
+@query(f"""
+WITH r AS ({_CHAINS}), m AS (SELECT *, s // 1000 AS chunk FROM r WHERE event_id % 3 <> 0 AND e <= (s // 1000 + 1) * 1000), n AS (SELECT * FROM r WHERE event_id % 3 = 0),
+o AS (SELECT m.user_id, m.event_id, m.chain, m.idx, m.s, m.e, m.chunk, min({{'s': n.s, 'e': n.e, 'l': n.event_type}}).l AS own FROM m LEFT JOIN n ON m.user_id = n.user_id AND n.s < m.e AND n.e > m.s GROUP BY ALL),
+z AS (SELECT o.*, coalesce(o.own, z.own) AS label FROM o LEFT JOIN o z ON z.user_id = o.user_id AND z.chain = o.chain AND z.idx = 0 AND z.chunk = o.chunk),
+k AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY user_id, s, e ORDER BY chain, idx) = 1),
+c AS (SELECT user_id, 'm' || event_id AS text, coalesce(first_value(label IGNORE NULLS) OVER (PARTITION BY user_id, chain ORDER BY chunk, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'CORE') AS label, s, e FROM k),
+p AS (SELECT user_id, 'e' || event_id AS text, event_type AS label, s, e FROM n QUALIFY row_number() OVER (PARTITION BY user_id, s, e ORDER BY event_type, 'e' || event_id) = 1)
+SELECT user_id, text, label, s AS start, e AS stop FROM c UNION ALL SELECT user_id, text, label, s, e FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = p.user_id AND c.s = p.s AND c.e = p.e)""")
+def entity_composed(spark, sf_dir):
+    mentions, found = _spans(spark, sf_dir)
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    chunks = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chunk_id")).select("*", (F.col("chunk_id") * 1000).alias("start"), ((F.col("chunk_id") + 1) * 1000).alias("end"))
+    return entities.compose(mentions, found, chunks, ["user_id"]).withColumnRenamed("end", "stop")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 9")
+def first_batch_element(spark, sf_dir):
+    batch = metrics.batch_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000).where("batch = 0")
+    return batch.orderBy("o_orderkey").offset(9).limit(1).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT n_name || CASE n_nationkey % 4 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.tgz' ELSE '.tar' END AS archive, CASE n_nationkey % 4 WHEN 0 THEN 'zip' WHEN 1 THEN 'tar.gz' WHEN 2 THEN 'tgz' ELSE 'tar' END AS kind,
+  n_nationkey % 3 <> 0 AS is_deep, 'in/' || n_nationkey || '.txt' AS path, CAST(strlen(n_comment) AS BIGINT) AS written, CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 416 END AS mode
+FROM (SELECT *, coalesce(n_name, '') AS n_comment FROM nation)""")
+def archive_files(spark, sf_dir):
+    """Archives of all kinds in a folder and below it; their members are unpacked with their permissions and met again as files."""
+    folder, out = files.work_dir(spark, "archives"), files.work_dir(spark, "members")
+
+    def write(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k, name in zip(*(c.to_pylist() for c in b.columns)):
+                end, to = (".ZIP", ".tar.gz", ".tgz", ".tar")[k % 4], io.BytesIO()
+                if end == ".ZIP":
+                    with zipfile.ZipFile(to, "w") as z:
+                        z.writestr(f"in/{k}.txt", name)
+                else:
+                    with tarfile.open(fileobj=to, mode="w" if end == ".tar" else "w:gz") as t:
+                        info = tarfile.TarInfo(f"in/{k}.txt")
+                        info.size, info.mode = len(name.encode()), 0o640
+                        t.addfile(info, io.BytesIO(name.encode()))
+                files.write_parts(f"{folder}/{'below/' if k % 3 else ''}{name}{end}", [to.getvalue()])
+                files.write_parts(f"{folder}/{name}.xml", [b"<no archive/>"])
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name")).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    flat = readers.read_archives(spark, folder).select("path", F.lit(True).alias("top"))
+    deep = readers.read_archives(spark, folder, deep=True)
+    found = archive.expand(deep).join(deep.select(F.col("path").alias("archive"), "kind"), "archive").join(flat.withColumnRenamed("path", "archive"), "archive", "left")
+    wrote = archive.materialise(archive.expand(deep), out)
+    rows = found.join(wrote, ["archive", "path"])
+    name = F.url_decode(F.element_at(F.split("archive", "/"), -1))
+    return rows.select(name.alias("archive"), "kind", F.col("top").isNull().alias("is_deep"), "path", "written", F.when(F.col("kind") == "zip", 0).otherwise(F.col("mode")).alias("mode"))
+
+
 @query("""
 SELECT o_orderkey % 500 AS file, count(*) AS n FROM orders WHERE o_orderkey % 500 NOT IN (SELECT o_orderkey % 500 FROM orders WHERE o_orderkey % 10 = 0) GROUP BY 1""")
 def file_level_reject(spark, sf_dir):
@@ -297,9 +512,22 @@ def entity_mentions(spark, sf_dir):
     return entities.extract_native(table(spark, sf_dir, "documents"), ["doc_id"], "text", "ORG", "[A-Z]{3,}")
 
 
-@query()
+#: All matches of the deterministic back end in texts t (k, base, x), with their places: what lies between them is measured.
+_FOUND = r"""
+p AS (SELECT * FROM (VALUES ('DATE', '\b(?:1[89]|20)\d\d\b'), ('MONEY', '\$\d+(?:\.\d+)?[MBK]?'), ('ORG', '\b[A-Z]{3,}\b')) v(label, rx)),
+g AS (SELECT k, base, label, regexp_extract_all(x, rx) AS m, list_transform(string_split_regex(x, rx), lambda s: length(s)) AS gaps FROM t, p WHERE regexp_matches(x, rx)),
+h AS (SELECT k, base, label, m, gaps, list_transform(m, lambda s: length(s)) AS sizes FROM g),
+f AS (SELECT k, base, label, m[i] AS text, CAST(base + list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS INTEGER) AS start, sizes[i] AS size FROM h, unnest(range(1, len(m) + 1)) u(i))"""
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(length(text), 1), 2000)) AS s0 FROM documents),
+fe AS (SELECT *, least(s0 + 2000, n) AS full_end, substring(text, CAST(least(s0 + 2000, n) - 199 AS BIGINT), 200) AS tail FROM s),
+e AS (SELECT doc_id, text, s0, CASE WHEN full_end < n AND regexp_matches(tail, '[.?!]|\n\n') THEN full_end - 200 + length(regexp_extract(tail, '(?s)^(.*)(?:[.?!]|\n\n)', 1)) + 1 ELSE full_end END AS stop FROM fe),
+t AS (SELECT doc_id AS k, s0 AS base, substring(text, CAST(s0 + 1 AS BIGINT), CAST(stop - s0 AS BIGINT)) AS x FROM e),""" + _FOUND + """
+SELECT k AS doc_id, CAST(base // 2000 AS INTEGER) AS chunk_id, text, label, start, CAST(start + size AS INTEGER) AS stop FROM f""")
 def entity_spans(spark, sf_dir):
-    return entities.extract(table(spark, sf_dir, "documents"), ["doc_id"], "text", size=2000, window=200)
+    return entities.extract(table(spark, sf_dir, "documents"), ["doc_id"], "text", size=2000, window=200).withColumnRenamed("end", "stop")
 
 
 @query("SELECT DISTINCT 'u' || user_id AS e_1, event_type AS rel, 'k' || event_id % 17 AS e_2 FROM events WHERE event_id % 5 <> 0")
@@ -348,10 +576,10 @@ def catalog_totals(spark, sf_dir):
     return metrics.totals(_catalog(spark, sf_dir), "expected_size")
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS is_ok FROM documents")
+@query("SELECT doc_id, text IS NOT NULL AND doc_id % 3 <> 0 AS is_ok FROM documents")
 def checksum_verify(spark, sf_dir):
     expected = F.when(F.col("doc_id") % 3 == 0, F.upper(F.sha1("text"))).otherwise(F.sha1("text"))
-    return table(spark, sf_dir, "documents").where("text <> '' or text = ''").select("doc_id", scalars.checksum_ok(F.col("text"), expected).alias("is_ok"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.checksum_ok(F.col("text"), expected).alias("is_ok"))
 
 
 @query("""
@@ -408,7 +636,10 @@ def recursive_splitter(spark, sf_dir):
     return chunking.positions(rows, ["doc_id"], F.col("chunks"))
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT CAST(o_orderkey AS VARCHAR) AS application_number, unnest([{{'section': 'Title', 'chunk': o_orderpriority}}, {{'section': 'Abstract', 'chunk': o_orderpriority}}, {{'section': 'Claims', 'chunk': '1. A ' || c_name}},
+  {{'section': 'Summary', 'chunk': 'a "quoted" text'}}, {{'section': 'Description', 'chunk': c_mktsegment}}], recursive := true) FROM {_NESTED})
+SELECT application_number, section, 1 AS total_chunks, 0 AS chunk_index, chunk, CASE WHEN section = 'Claims' THEN 1 END AS claim_number FROM s""")
 def chunk_pipeline(spark, sf_dir):
     docs = documents.documents(applications.nest(_application_rows(spark, sf_dir))).select("metadata.application_number", "page_content")
     return chunking.chunk_documents(docs, ["application_number"])
@@ -439,7 +670,9 @@ def archive_expand(spark, sf_dir):
     return archive.expand(made).select("archive", "path", "depth", "size")
 
 
-@query()
+@query("WITH t AS (SELECT doc_id AS k, 0 AS base, text AS x FROM documents WHERE text IS NOT NULL)," + _FOUND + """,
+n AS (SELECT k, text AS e_1, lead(text) OVER (PARTITION BY k ORDER BY start, size, label) AS e_2 FROM f)
+SELECT k AS doc_id, e_1, 'followed_by' AS rel, e_2 FROM n WHERE e_2 IS NOT NULL""")
 def kg_from_text(spark, sf_dir):
     found = entities.pattern_backend()
     return graph.build(table(spark, sf_dir, "documents"), ["doc_id"], "text", lambda t: [m[0] for m in found(t)], graph.chain_relations)

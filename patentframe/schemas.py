@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-_ID = "struct<country:string,`doc-number`:string,kind:string>"
-
+#: An exchange document as the parser gives it: null where an attribute or element is missing.
 EXCHANGE_DOCUMENT = (
-    "_country string, `_doc-number` string, _kind string, _status string, "
-    "`bibliographic-data` struct<"
-    "`patent-classifications`:struct<`patent-classification`:array<struct<`classification-scheme`:struct<_scheme:string>,`classification-symbol`:string>>>,"
-    f"`references-cited`:struct<citation:array<struct<patcit:struct<`document-id`:array<{_ID}>>,category:array<string>,`rel-passage`:array<struct<category:array<string>>>>>>>, "
-    f"`patent-family` struct<`family-member`:array<struct<`publication-reference`:array<struct<`_data-format`:string,`document-id`:array<{_ID}>>>>>>"
+    "country string, doc_number string, kind string, status string, "
+    "classifications array<struct<scheme:string,symbol:string>>, "
+    "citations array<struct<cited:struct<country:string,number:string,kind:string>,categories:array<string>>>, "
+    "family array<struct<format:string,id:struct<country:string,number:string,kind:string>>>, problem string"
 )
 
 PATENT_RECORD = "patent_id string, status string, cpc_list array<string>, citations array<struct<cited_id:string,categories:array<string>>>, family_patents array<string>"

@@ -14,7 +14,7 @@ from typing import BinaryIO, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import open_file, write_parts
+from .files import make_link, open_file, set_attributes, write_parts
 
 MEMBERS = "archive string, path string, depth int, size long, mode int, mtime long, content binary, link string, problem string"
 SUFFIXES = (".zip", ".tar.gz", ".tgz", ".tar")
@@ -76,12 +76,50 @@ def walk(name: str, file: BinaryIO, max_depth: int, folder: str = "", depth: int
         yield Member(posixpath.join(folder, name), depth, problem=f"broken: {type(e).__name__}")
 
 
+BROKEN = (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, RuntimeError)
+
+
+def _row(archive: str, m: Member) -> tuple:
+    problem, content = m.problem, None
+    try:
+        content = m.read() if m.read else None
+    except BROKEN as e:
+        problem = f"broken: {type(e).__name__}"
+    return archive, m.path, m.depth, len(content) if content is not None else m.size, m.mode, m.mtime, content, m.link, problem
+
+
+def last_rows(archive: str, begin: Callable[[], BinaryIO], max_depth: int) -> Iterator[tuple]:
+    """A row for each path of an archive, the last one of equal paths, in the order of those.
+
+    One walk, as long as what it reads stays below ``BATCH``; beyond it the archive is walked for its paths, then once more.
+    """
+    try:
+        held: dict[str, tuple] = {}
+        size = 0
+        for m in walk(archive, begin(), max_depth):
+            size += m.size + 200
+            if size > BATCH:
+                break
+            held.pop(m.path, None)
+            held[m.path] = _row(archive, m)
+        else:
+            yield from held.values()
+            return
+        held.clear()
+        last = {m.path: k for k, m in enumerate(walk(archive, begin(), max_depth))}
+    except OSError as e:  # of the file itself
+        yield archive, archive, 0, 0, 0, 0, None, None, f"broken: {type(e).__name__}"
+        return
+    for k, m in enumerate(walk(archive, begin(), max_depth)):
+        if last.get(m.path) == k:
+            yield _row(archive, m)
+
+
 def expand(archives: DataFrame, max_depth: int = 5) -> DataFrame:
     """A row for each file and link of archives (path, and content; without content they are opened by their path).
 
     Nested archives are opened in turn, at most ``max_depth`` deep, and give their members beside them; broken ones give
-    a row with a problem. Of equal paths the last holds: an archive is walked once for its paths, then for its contents,
-    so a task holds one member and 32 MB of rows, not a whole archive unpacked.
+    a row with a problem. Of equal paths the last holds. A task holds one member and about 32 MB of others, not a whole archive unpacked.
     """
 
     def run(batches):
@@ -99,21 +137,9 @@ def expand(archives: DataFrame, max_depth: int = 5) -> DataFrame:
             contents = b.column(1) if b.num_columns > 1 else [None] * b.num_rows
             for archive, data in zip(b.column(0).to_pylist(), contents):
                 begin = (lambda d=data: io.BytesIO(d.as_py())) if data is not None else (lambda a=archive: open_file(a))
-                try:
-                    last = {m.path: k for k, m in enumerate(walk(archive, begin(), max_depth))}
-                except OSError as e:  # of the file itself
-                    held.append((archive, archive, 0, 0, 0, 0, None, None, f"broken: {type(e).__name__}"))
-                    continue
-                for k, m in enumerate(walk(archive, begin(), max_depth)):
-                    if last.get(m.path) != k:
-                        continue
-                    problem, content = m.problem, None
-                    try:
-                        content = m.read() if m.read else None
-                    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, RuntimeError) as e:
-                        problem = f"broken: {type(e).__name__}"
-                    held.append((archive, m.path, m.depth, len(content) if content is not None else m.size, m.mode, m.mtime, content, m.link, problem))
-                    size += len(content or b"") + 200
+                for row in last_rows(archive, begin, max_depth):
+                    held.append(row)
+                    size += len(row[6] or b"") + 200
                     if size > BATCH:
                         yield passed_on()
                         held, size = [], 0
@@ -124,7 +150,8 @@ def expand(archives: DataFrame, max_depth: int = 5) -> DataFrame:
 
 
 def materialise(found: DataFrame, folder: str) -> DataFrame:
-    """Write members as files below ``folder``; archive, path, written (bytes, null where there was nothing to write).
+    """Write members as files below ``folder``, with their permissions and times, and links as links; archive, path, written
+    (bytes, 0 for a link, null where there was nothing to write or the store has no links).
 
     Archives unpack to a folder each, named by a digest of their path, as equal member paths of two may not meet.
     """
@@ -132,8 +159,16 @@ def materialise(found: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            wrote = [write_parts(f"{folder}/{key}/{path}", [c.as_py()]) if c.is_valid else None for key, path, c in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3))]
+            wrote = []
+            for path, key, content, link, mode, mtime in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), *(b.column(k).to_pylist() for k in (4, 5, 6))):
+                to = f"{folder}/{key}/{path}"
+                if content.is_valid:
+                    wrote.append(write_parts(to, [content.as_py()]))
+                    set_attributes(to, mode, mtime)
+                else:
+                    wrote.append(0 if link is not None and make_link(to, link) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wrote, pa.int64())], ["archive", "path", "written"])
 
-    rows = found.select("archive", "path", F.md5("archive"), F.when(F.col("problem").isNull(), F.col("content")))
+    fine = F.col("problem").isNull()
+    rows = found.select("archive", "path", F.md5("archive"), F.when(fine, F.col("content")), F.when(fine, F.col("link")), "mode", "mtime")
     return rows.mapInArrow(run, "archive string, path string, written long")

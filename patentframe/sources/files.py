@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -38,3 +41,35 @@ def write_parts(uri: str, parts: Iterable[bytes]) -> int:
             fs.delete_file(other)
         raise
     return size
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="patentframe-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def set_attributes(uri: str, mode: int, mtime: int) -> None:
+    """Permissions and time of change, where the store has them."""
+    fs, path = filesystem(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        if mode & 0o777:
+            os.chmod(path, mode & 0o777)
+        os.utime(path, (mtime, mtime))
+
+
+def make_link(uri: str, target: str) -> bool:
+    """A symbolic link, where the store has them; one that is there is replaced."""
+    fs, path = filesystem(uri)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return False
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    other = f"{path}.{uuid.uuid4().hex}.part"
+    os.symlink(target, other)
+    os.replace(other, path)
+    return True

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars
+from ..operators import exchange
+from .files import open_file
+
+XML_FILES = "*.[xX][mM][lL]"
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -20,20 +24,27 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def read_feather(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Feather (Arrow IPC) files, a task each; the schema is that of the first."""
+def read_feather(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    """Feather (Arrow IPC) files by URI, a task each, a batch at a time; the schema is that of the first."""
     import pyarrow as pa
-    from pyarrow import feather
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    schema = from_arrow_schema(pa.ipc.open_file(pa.memory_map(paths[0])).schema)
+    rows = paths.select("path") if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    first = rows.first()
+    if first is None:
+        raise ValueError("no feather files")
+    with open_file(first["path"]) as f:
+        schema = from_arrow_schema(pa.ipc.open_file(f).schema)
 
     def load(batches):
         for b in batches:
             for p in b.column(0).to_pylist():
-                yield from feather.read_table(p).to_batches()
+                with open_file(p) as f:
+                    file = pa.ipc.open_file(f)
+                    for k in range(file.num_record_batches):
+                        yield file.get_batch(k)
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInArrow(load, schema)
+    return rows.mapInArrow(load, schema)
 
 
 def read_applications(spark: SparkSession, directory: str) -> DataFrame:
@@ -42,10 +53,41 @@ def read_applications(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
 
 
-def read_exchange_documents(spark: SparkSession, directory: str) -> DataFrame:
-    """Every exchange-document of all XML files below a directory, whatever its namespace prefix, with its file's path."""
-    reader = spark.read.format("xml").option("rowTag", "exchange-document").option("ignoreNamespace", "true").schema(schemas.EXCHANGE_DOCUMENT)
-    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][mM][lL]").load(directory).select("*", F.col("_metadata.file_path").alias("file"))
+def read_exchange_documents(spark: SparkSession, directory: str, encoding: str = "UTF-8") -> DataFrame:
+    """Every exchange-document of all XML files below a directory, at any depth and whatever its namespace prefix, with its file's path.
+
+    Files are cut where documents end, so one file is read by as many tasks as its size asks for. Unreadable files are passed
+    over; ``unreadable`` names them.
+    """
+    reader = spark.read.format("text").option("lineSep", "exchange-document>").option("encoding", encoding).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    pieces = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", XML_FILES).load(directory)
+    # what the cut took is put back; a start tag without attributes is cut like an end tag, and is a document without attributes
+    whole = F.concat("value", F.when(F.col("value").rlike(r"</(?:[\w.-]+:)?$"), "exchange-document>").when(F.col("value").rlike(r"<(?:[\w.-]+:)?$"), "exchange-document/>").otherwise(""))
+    return exchange.parse_xml(pieces.select(F.col("_metadata.file_path").alias("file"), whole.alias("xml")), whole=False)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """file and problem of those of the files (path) that can't be opened and read."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for path in b.column(0).to_pylist():
+                try:
+                    with open_file(path) as f:
+                        f.read(1)
+                except OSError as e:
+                    out.append((path, f"unreadable: {type(e).__name__}"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in list(zip(*out)) or [(), ()]], ["file", "problem"])
+
+    return files.select("path").mapInArrow(run, "file string, problem string")
+
+
+def list_files(spark: SparkSession, directory: str, names: str) -> DataFrame:
+    """path of the files below a directory by a pattern of their names; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(directory).select("path")
 
 
 def read_archives(spark: SparkSession, directory: str, deep: bool = False) -> DataFrame:

@@ -18,7 +18,11 @@ def test_config_sources(tmp_path):
     f.write_text(json.dumps({"chunk_size": 500, "output": "a"}))
     c = config.load(str(f), {"output": "b", "input": None}, {"PATENTFRAME_CHUNK_OVERLAP": "50", "PATENTFRAME_SPLIT_CLAIMS": "false", "HOME": "x"})
     assert (c.chunk_size, c.output, c.chunk_overlap, c.split_claims, c.input) == (500, "b", 50, False, "")
-    for bad in ({"nonsense": 1}, {"reject_scope": "all"}, {"chunk_size": 10}, {"split_claims": "maybe"}, {"parallel": 0}, {"products": "x"}):
+    g = tmp_path / "d.json"
+    g.write_text(json.dumps({"output": "c", "retries": 7}))
+    both = config.load([str(f), str(g)], {}, {})
+    assert (both.chunk_size, both.output, both.retries) == (500, "c", 7)
+    for bad in ({"partition_by": "title"}, {"nonsense": 1}, {"reject_scope": "all"}, {"chunk_size": 10}, {"split_claims": "maybe"}, {"parallel": 0}, {"products": "x"}):
         with pytest.raises(ValueError):
             config.load(None, bad, {})
 
@@ -33,6 +37,9 @@ def test_commands(spark, tmp_path, capsys):
     assert run("parse", "xml", "records") == run("import", "json", "apps") == run("chunk", "apps", "chunks") == 0
     assert spark.read.parquet(str(tmp_path / "records")).count() == 3 and spark.read.parquet(str(tmp_path / "records-rejects")).count() == 1
     assert {r["section"] for r in spark.read.parquet(str(tmp_path / "chunks")).collect()} == {"Title", "Abstract", "Claims", "Background", "Summary", "Description"}
+    again = ["import", "--input", str(tmp_path / "json"), "--output", str(tmp_path / "parts"), "--partition-by", "filing_year,decision", "--log", str(tmp_path / "log")]
+    assert cli.main(again) == 0 and (tmp_path / "parts" / "filing_year=2014" / "decision=PENDING").is_dir()
+    assert json.loads((tmp_path / "log").read_text())["outcomes"] == {"inserted": 1}
     cli.main(["config", "--chunk-size", "700"])
     assert '"chunk_size": 700' in capsys.readouterr().out
 
@@ -93,6 +100,14 @@ def test_download_unpack_and_parse(spark, tmp_path, server):
     assert {r["outcome"] for r in spark.read.parquet(f"{out}/downloads").where("file_path = 'data/good.zip'").collect()} == {"skipped"}
 
 
+def test_download_of_one_file(spark, tmp_path, server):
+    url, _ = server
+    out = str(tmp_path / "one")
+    assert cli.main(["download-file", "--file-url", url + "/products/14", "--file-name", "p.json", "--output", out]) == 0
+    assert json.loads((tmp_path / "one" / "p.json").read_text())["id"] == 14
+    assert cli.main(["download-file", "--output", str(tmp_path / "none")]) == 0 and spark.read.parquet(str(tmp_path / "none" / "file-download")).count() == 0
+
+
 def test_download_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "file_path string, checksum string, url string")
     assert download.download(none, str(tmp_path)).count() == 0
@@ -120,3 +135,8 @@ def test_large_and_linked_members(spark, tmp_path, monkeypatch):
         for k in range(30):
             last = k + 30 if k < 10 else k
             assert bytes(got[f"m{k}"]["content"]) == bytes([last]) * 400 and got[f"m{k}"]["mtime"] == 1000 + last
+    monkeypatch.setattr(archive, "BATCH", 32 << 20)  # in one walk, then as files with their times and the link
+    wrote = archive.materialise(archive.expand(found), str(tmp_path / "out")).collect()
+    assert sorted(r["written"] for r in wrote) == [0] + [400] * 30
+    (made,) = (tmp_path / "out").iterdir()
+    assert (made / "l").is_symlink() and (made / "l").read_bytes() == bytes([31]) * 400 and (made / "m1").stat().st_mtime == 1031 and (made / "m1").stat().st_mode & 0o777 == 0o644

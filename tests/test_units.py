@@ -45,6 +45,10 @@ def test_archive_names(spark):
     assert column(spark, names, scalars.archive_stem) == ["a", "b", "c", "d", "e.xml"]
 
 
+def test_wide_spaces_go(spark):
+    assert column(spark, ["\u00a0 a\u2003b\u3000\n", "\x85x\u2028", None], scalars.trim_space) == ["a\u2003b", "x", None]
+
+
 CLAIMS = ["1. A foo. 2. The foo of claim 1, wherein.", "No numbers here", "What is claimed: 1. A. 2. B.", "  plain  ", "9. x 10. y"]
 
 
@@ -54,6 +58,7 @@ def test_claims(spark):
     assert compat[2] == ["What is claimed: 1.", "A. 2.", "B."] and compat[0] == ["1. A foo.", "2. The foo of claim 1, wherein."]
     assert column(spark, CLAIMS, lambda c: chunking.split_claims(c, on=False)) == [[x] for x in CLAIMS]
     assert column(spark, ["12. x", "x 1. y", ""], scalars.claim_number) == [12, None, None]
+    assert column(spark, ["1. A\x01B 2. C", "x12. y", "3.4. z"], chunking.split_claims) == [["1. A\x01B", "2. C"], ["x", "12. y"], ["3.", "4. z"]]
 
 
 def boundary_model(text, size, window, line_break):
@@ -88,6 +93,24 @@ def test_recursive_splitter():
         assert all(word in " ".join(chunks) for word in text.split() if len(word) <= 80)
 
 
+def test_splitters(spark):
+    """Golden pieces of the recursive splitter, worked out by hand; sentences; models that aren't here."""
+    assert chunking.split_recursive("aa bb cc dd", 5, 2) == ["aa bb", "bb cc", "cc dd"]
+    assert chunking.split_recursive("one two\n\nthree four five\n\nsix", 10, 0) == ["one two", "three four", "five", "six"]
+    assert chunking.split_recursive("abcdefgh", 3, 1) == ["abc", "cde", "efg", "gh"] and chunking.split_recursive("  ", 3, 1) == []
+    long = chunking.split_recursive("x" * 300_000, 1000, 200)
+    assert all(len(c) <= 1000 for c in long) and len(long) == 375 and long[0][-200:] == long[1][:200]
+    assert chunking.split_sentences("One. Two! Three? Four", 10, 5) == ["One. Two!", "Three?", "Four"]
+    assert "".join(chunking.split_sentences("A b. C d! E", 4, 0)).replace(" ", "") == "Ab.Cd!E"
+    pages = spark.createDataFrame([("a", json.dumps({"Summary": "One two. Three four. Five."}))], "k string, page_content string")
+    assert [r["chunk"] for r in chunking.chunk_documents(pages, ["k"], True, 12, 0, "sentences").orderBy("chunk_index").collect()] == ["One two.", "Three four.", "Five."]
+    with pytest.raises(ValueError, match="unknown splitter"):
+        chunking.chunk_documents(pages, ["k"], splitter="none")
+    for name in ("spacy", "nltk", "sentence_transformers"):
+        with pytest.raises(ValueError, match="needs the package"):
+            chunking.splitter_named(name)("text", 10, 0)
+
+
 def test_chunk_documents(spark):
     pages = [("a", json.dumps({"Claims": "1. One. 2. Two.", "Title": "T", "Summary": None, "Abstract": ""})), ("b", "not json")]
     got = {(r["k"], r["section"], r["chunk_index"]): (r["chunk"], r["total_chunks"], r["claim_number"]) for r in chunking.chunk_documents(spark.createDataFrame(pages, "k string, page_content string"), ["k"]).collect()}
@@ -122,6 +145,29 @@ def test_exchange_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_exchange_odd_documents(spark, tmp_path):
+    """Lists at any depth, direct children only where the layout says so, markup in texts, comments, and malformed documents."""
+    doc = lambda inside, attrs="country='EP' doc-number='1' kind='A' status='C'": f"<p:exchange-document {attrs}>{inside}</p:exchange-document>"
+    cls = "<q><patent-classification><classification-scheme scheme='CPCI'/><classification-symbol> B<b>1</b>&amp;2 </classification-symbol></patent-classification></q>"
+    deep = "<patent-classification><x><classification-scheme scheme='CPCI'/></x><classification-symbol>C</classification-symbol></patent-classification>"
+    cite = "<k><references-cited><citation><category>A</category><x><category>no</category></x><patcit><document-id><country> DE </country><kind/></document-id></patcit></citation><x><citation/></x></references-cited></k>"
+    files = {"a.xml": doc(cls + cite) + "\n<!-- " + doc("in a comment") + " -->" + doc(cls + deep) + doc("<x>"), "b.xml": "<r>" + doc("", "country=\"a>b\" doc-number='' kind='A' status='C'") + "<exchange-document>", "d/c.XML": doc(cls) + "</r>"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    docs = readers.read_exchange_documents(spark, str(tmp_path)).collect()
+    assert sorted((r["file"][-5:], r["country"], r["problem"] is None, [c["symbol"] for c in r["classifications"] or []]) for r in docs if r["country"]) == [("a.xml", "EP", True, [" B1&2 "]), ("a.xml", "EP", True, [" B1&2 ", "C"]), ("b.xml", "a>b", True, []), ("c.XML", "EP", True, [" B1&2 "])]
+    assert sorted((r["file"][-5:], (r["problem"] or "")[:9]) for r in docs if not r["country"]) == [("a.xml", "malformed"), ("b.xml", "")]
+    good, bad = exchange.split_rejects(readers.read_exchange_documents(spark, str(tmp_path)))
+    rows = sorted((r["patent_id"], r["cpc_list"], [tuple(c) for c in r["citations"]]) for r in exchange.patent_records(good).collect())
+    assert rows == [("EP1A", [], []), ("EP1A", ["B1&2"], []), ("EP1A", ["B1&2"], [("DE", ["A"])])] and bad.count() == 3
+    assert exchange.split_rejects(readers.read_exchange_documents(spark, str(tmp_path)), "file")[0].count() == 1
+    missing = spark.createDataFrame([(str(tmp_path / "a.xml"),), (str(tmp_path / "gone.xml"),)], "path string")
+    assert [tuple(r) for r in readers.unreadable(missing).collect()] == [(str(tmp_path / "gone.xml"), "unreadable: FileNotFoundError")]
+    nulls = exchange.parse_xml(spark.createDataFrame([(1, None), (2, "")], "k int, xml string")).collect()
+    assert all(r["problem"] and r["country"] is None for r in nulls)
+
+
 def application(**more):
     base = {
         "application_number": "14112715", "publication_number": "US1", "patent_number": "None", "title": "T", "decision": "PENDING", "date_produced": "20140723", "date_published": "20140807", "filing_date": "20140326",
@@ -132,6 +178,19 @@ def application(**more):
     return base | more
 
 
+def test_import_keeps_valid_rows(spark):
+    """A row that isn't valid keeps no other out, equal rows give one, and a hot key's rows don't meet in a window."""
+    rows = [application(application_number="1", title=None), application(application_number="2"), application(application_number="3"), application(application_number="2"), application(publication_number=None), application(publication_number="")]
+    from patentframe import schemas
+
+    flat = spark.createDataFrame(rows, schemas.APPLICATION_JSON)
+    good, others = applications.import_applications(flat)
+    assert [r["metadata"]["application_number"] for r in good.collect()] == ["2"]
+    assert sorted((r["application_number"], r["outcome"]) for r in others.collect()) == [("1", "rejected"), ("14112715", "skipped"), ("14112715", "skipped"), ("2", "duplicate"), ("3", "duplicate")]
+    assert {r["outcome"]: r["n"] for r in applications.count_outcomes(good, others).collect()} == {"inserted": 1, "rejected": 1, "skipped": 2, "duplicate": 2}
+    assert "Window" not in good._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_import_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -225,6 +284,17 @@ def test_mentions(spark):
     assert sorted(r["text"] for r in entities.first_mentions(again, ["doc_id"], ["source"]).collect()) == ["a", "c"]
 
 
+def test_composed_entities(spark):
+    """Chains' labels come first, by chunk and place; a span has one mention; what no chunk holds is left out."""
+    found = spark.createDataFrame([(1, "Ann", "PERSON", 0, 3), (1, "NASA", "ORG", 20, 24), (1, "Bob", "PERSON", 60, 63)], "d long, text string, label string, start int, end int")
+    mentions = spark.createDataFrame([(1, 0, 0, 5, 8, "her"), (1, 0, 1, 0, 3, "Ann"), (1, 0, 2, 30, 33, "she"), (1, 1, 0, 20, 24, "NASA"), (1, 1, 1, 55, 57, "it"), (1, 2, 0, 20, 24, "again"), (1, 2, 1, 40, 42, "we"), (1, 3, 0, 48, 52, "cut")], "d long, chain int, idx int, start int, end int, text string")
+    chunks = spark.createDataFrame([(1, 0, 0, 50), (1, 1, 50, 90)], "d long, chunk_id int, start int, end int")
+    got = sorted((r["start"], r["text"], r["label"]) for r in entities.compose(mentions, found, chunks, ["d"]).collect())
+    assert got == [(0, "Ann", "PERSON"), (5, "her", "CORE"), (20, "NASA", "ORG"), (30, "she", "PERSON"), (40, "we", "ORG"), (55, "it", "ORG"), (60, "Bob", "PERSON")]
+    long = spark.createDataFrame([(1, 0, 10_000), (1, 7, 7), (2, 3, 4)], "d long, start int, end int")
+    assert sorted((r["d"], r["start"], r["label"] or "") for r in entities.covering_labels(long, found, ["d"]).collect()) == [(1, 0, "PERSON"), (1, 7, ""), (2, 3, "")]
+
+
 def test_graph(spark):
     rows = [(1, '{"relations":[{"e_1":"a","rel":"part of","e_2":"b"},{"e_1":"a","rel":"part of","e_2":"b"}]}'), (2, "{bad"), (3, '{"relations":[]}'), (4, None), (5, '{"relations":[{"e_1":"it\'s","rel":"x"}]}')]
     e = graph.edges(graph.relations(spark.createDataFrame(rows, "k int, j string"), ["k"], "j"))
