@@ -155,6 +155,30 @@ def like(a, b):
     return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
 
 
+def murmur3(x):
+    """32-bit Murmur 3 of a 64-bit integer, seed 42, signed."""
+    rotl = lambda v, n: (v << n | v >> (32 - n)) & 0xFFFFFFFF
+    h = 42
+    for k in (x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF):
+        h = (rotl(h ^ rotl(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def plain_sketch(paragraphs):
+    """The printed sketch of a set of paragraphs, a digest at a time."""
+    table = [[0, 0, 0] for _ in range(48)]
+    for p in paragraphs:
+        d = xxhash.xxh64_intdigest(p, 42)
+        for band, turn in enumerate((4, 8, 12)):
+            r = (d >> turn | d << (64 - turn)) & (2**64 - 1)
+            cell = table[16 * band + (r >> 60)]
+            cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] ^ r, cell[2] ^ murmur3(r)
+    return f"{len(paragraphs)}:" + ",".join(f"{c:X}.{k:X}.{x:08X}" if c else "" for c, k, x in table)
+
+
 def test_op2_against_sets(docs, none):
     cut = re.compile(fingerprint.PARAGRAPH.replace(r"\z", r"\Z"))
     got, ordered, want = plain(fingerprint.fingerprints(docs)), in_order(rows()), []
@@ -163,26 +187,38 @@ def test_op2_against_sets(docs, none):
         e = t[: len(t) - k] + u[:k]
         a, b, c = (set(cut.findall(x)) for x in (t, e, u))
         want.append({"doc_id": i, "n_chars": len(t), "edited_sha256": hashlib.sha256(e.encode()).hexdigest(), "near_edited": like(a, b), "near_next": like(a, c)})
+        want[-1] |= {"fingerprint": plain_sketch(a), "edited_fingerprint": plain_sketch(b)}
     same_rows(got, want)
-    text_of = defaultdict(set)
-    for r in got:
-        text_of[r["n_chars"], r["fingerprint"]].add(r["doc_id"])
     assert fingerprint.fingerprints(none).count() == 0
     lone = none.sparkSession.createDataFrame([(None, "Only one. " * 20)], "doc_id long, text string")
     assert plain(fingerprint.fingerprints(lone))[0]["near_next"] == 1.0
 
 
-def test_op2_large_differences_need_retries(spark):
+def test_op2_peeling_recovers_the_differences(spark):
+    """Digests of both sides, by the first sketch where they are few, by tables where they are many, and seldom as sets."""
     rng = random.Random(5)
-    sizes = [1, 10, 40, 130, 700, 3000]
+    sizes = [1, 10, 40, 130, 700, 3000, *[rng.randint(1, 60) for _ in range(60)]]
     data = [(k, "\n".join(words(rng, 6) for _ in range(n))) for k, n in enumerate(sizes)]
-    half = [(k + 100, "\n".join(t.split("\n")[: sizes[k] // 2] + [words(rng, 6) for _ in range(sizes[k] // 2)])) for k, t in data]
-    every = [x for pair in zip(data, half) for x in pair]
-    numbered = [(k, t) for k, (_, t) in enumerate(every)]
-    got = {r["doc_id"]: r["near_next"] for r in plain(fingerprint.fingerprints(spark.createDataFrame(numbered, "doc_id long, text string")))}
+    changed = lambda t, n: "\n".join([*t.split("\n")[n:], *(words(rng, 6) for _ in range(n))])
+    half = [(k, changed(t, (sizes[k] + 1) // 2)) for k, t in data]
+    little = [(k, changed(t, min(3, sizes[k]))) for k, t in data]
+    numbered = [(k, t) for k, (_, t) in enumerate([x for three in zip(data, half, little) for x in three])]
+    df = spark.createDataFrame(numbered, "doc_id long, text string")
     cut = re.compile(fingerprint.PARAGRAPH.replace(r"\z", r"\Z"))
-    for k in range(len(numbered) - 1):
-        assert got[k] == pytest.approx(like(set(cut.findall(numbered[k][1])), set(cut.findall(numbered[k + 1][1]))))
+    own = {i: {p: xxhash.xxh64_intdigest(p, 42) for p in cut.findall(t)} for i, t in numbered}
+    levels = Counter()
+    for r in plain(fingerprint.differences(df)):
+        a, i = own[r["id"]], r["id"]
+        for found, b in ((r["from_edited"], {p: xxhash.xxh64_intdigest(p, 42) for p in cut.findall(r["edited"])}), (r["from_next"], own[(i + 1) % len(numbered)])):
+            sides = [sorted(e["k"] % 2**64 for e in found if e["c"] == c) for c in (1, -1)]
+            assert sides == [sorted({a[p] for p in a.keys() - b.keys()}), sorted({b[p] for p in b.keys() - a.keys()})]
+            levels[max((e["l"] for e in found), default=0)] += 1
+            assert len(found) > 8 or all(e["l"] < 2 for e in found)
+    assert levels[0] > 100 and levels[1] > 50 and levels[2] + levels[3] > 5 and levels[fingerprint.SETS] < 0.05 * sum(levels.values())
+    got = {r["doc_id"]: r for r in plain(fingerprint.fingerprints(df))}
+    for k in range(len(numbered)):
+        a, b = own[k].keys(), own[(k + 1) % len(numbered)].keys()
+        assert got[k]["near_next"] == pytest.approx(like(a, b)) and got[k]["fingerprint"] == plain_sketch(a)
 
 
 def test_op3_against_library(docs, none):
