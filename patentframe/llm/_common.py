@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -38,6 +39,18 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs run inside pass at most so many rows at a time to Python, which bounds what a worker holds of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow filesystem and path of a URI (file, s3, gs, hdfs) or of a plain local path."""
     if uri.startswith("file:"):

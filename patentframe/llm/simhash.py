@@ -158,7 +158,8 @@ def fingerprints(docs: DataFrame, words: int, texts: Texts | None, id_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"), *([F.struct(*keep).alias("row")] if keep else []))
     schema = "id long, uid long, fp long, sketch binary, node long" + (", place struct<part:bigint,at:bigint,size:int,n:int>" if texts else "") + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
-    return C.stage_table(rows.mapInArrow(run, schema), "fingerprints")
+    with C.batches_of(docs.sparkSession, 1000):
+        return C.stage_table(rows.mapInArrow(run, schema), "fingerprints")
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
