@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patentframe.llm import _common, linededup, packing, quality, secrets, simhash
+from patentframe.llm import _common, linededup, packing, quality, secrets, simhash, wordruns
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of line runs of 50 words or more, and documents of which nothing is left."""
-    return linededup.drop_runs(docs)
+    """Deletes later copies of line runs of 50 words or more, then of passages of as many that begin or end inside lines.
+
+    Documents of which nothing is left go.
+    """
+    return wordruns.drop_passages(_common.stage_table(linededup.drop_runs(docs), "lines"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

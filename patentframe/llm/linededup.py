@@ -15,7 +15,7 @@ beyond belongs to that suffix's run as well; so whole maximal runs go, of whatev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -321,7 +321,12 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     Null ids come first. A run that overlaps its own first occurrence isn't a copy. Repeated rows (id and text) are one
     document and don't count as copies of each other. An empty table, or one without repeated lines, gives none.
     """
-    found = C.stage_table(suffixes(suffix_ranks(lines_of(docs, id_col, text_col), min_words), min_words), "suffix-rows")
+    return copies_of(lines_of(docs, id_col, text_col), min_words)
+
+
+def copies_of(lines: DataFrame, min_words: int) -> DataFrame:
+    """id, hash, runs as ``later_copies`` says, of rows in the columns of ``lines_of``."""
+    found = C.stage_table(suffixes(suffix_ranks(lines, min_words), min_words), "suffix-rows")
     return later_runs(found).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
@@ -348,13 +353,24 @@ def _without(text: Column, runs: Column) -> Column:
     return _let(_let(_let(F.struct(F.split(text, "\n").alias("lines")), with_solid), with_gone), cut)
 
 
-def _met(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    copies = later_copies(docs, min_words, id_col, text_col).select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), "runs")
+def met(docs: DataFrame, copies: DataFrame, without: Callable[[Column, Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """row, changed, new: each row with its ``copies``, and for those that have some what ``without`` makes of text and runs."""
+    copies = copies.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), "runs")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hash"))
     rows = rows.join(copies, F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2")), "left")
     changed = F.col("runs").isNotNull()
-    rows = rows.select("row", changed.alias("changed"), F.when(changed, _without(F.col(f"row.{text_col}"), F.col("runs"))).alias("new"))
-    return rows.select("row", "changed", F.when(F.col("changed"), F.col("new.text")).otherwise(F.col(f"row.{text_col}")).alias("kept"), F.col("new.gone").alias("gone"))
+    rows = rows.select("row", changed.alias("changed"), F.when(changed, without(F.col(f"row.{text_col}"), F.col("runs"))).alias("new"))
+    return rows
+
+
+def left(docs: DataFrame, rows: DataFrame, text_col: str, count_col: str) -> DataFrame:
+    """``docs`` with the new texts of ``met``, counted anew, without those that are blank since."""
+    kept = F.when(F.col("changed"), F.col("new")).otherwise(F.col(f"row.{text_col}"))
+    rows = rows.select("row", "changed", kept.alias("kept")).where(~F.col("changed") | (_trimmed(F.col("kept")) != ""))
+    row = F.col("row").withField(text_col, F.col("kept"))
+    if count_col in docs.columns:
+        row = row.withField(count_col, F.when(F.col("changed"), F.char_length("kept")).otherwise(F.col(f"row.{count_col}")).cast(docs.schema[count_col].dataType))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def remove_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,13 +380,13 @@ def remove_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     have no lines and stay null; blank lines are no part of a run, but go with one that encloses them. Repeated rows are treated
     alike, an empty table gives no rows.
     """
-    met = _met(docs, min_words, id_col, text_col)
-    return met.select(
+    rows = met(docs, later_copies(docs, min_words, id_col, text_col), _without, id_col, text_col)
+    return rows.select(
         F.col(f"row.{id_col}").alias("doc_id"),
         F.coalesce(F.size(F.split(F.col(f"row.{text_col}"), "\n")), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"),
-        F.col("kept").alias("text"),
+        F.coalesce(F.size("new.gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.array_join("new.gone", ","), F.lit("")).alias("removed"),
+        F.when(F.col("changed"), F.col("new.text")).otherwise(F.col(f"row.{text_col}")).alias("text"),
     )
 
 
@@ -380,8 +396,5 @@ def drop_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text
     Other columns stay as they are, whatever their names; null texts, null ids and repeated rows are as in ``remove_runs``, and an
     empty table gives no rows.
     """
-    met = _met(docs, min_words, id_col, text_col).where(~F.col("changed") | (_trimmed(F.col("kept")) != ""))
-    row = F.col("row").withField(text_col, F.col("kept"))
-    if count_col in docs.columns:
-        row = row.withField(count_col, F.when(F.col("changed"), F.char_length("kept")).otherwise(F.col(f"row.{count_col}")).cast(docs.schema[count_col].dataType))
-    return met.select(row.alias("row")).select("row.*")
+    rows = met(docs, later_copies(docs, min_words, id_col, text_col), _without, id_col, text_col)
+    return left(docs, rows.withColumn("new", F.col("new.text")), text_col, count_col)

@@ -8,6 +8,7 @@ import corpus_pipeline
 from patentframe.llm import _common as C
 from patentframe.llm import quality
 from tests.llm.test_operators import brute_runs, brute_spans, check_bins, plain
+from tests.llm.test_wordruns import brute_passages
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,8 +44,10 @@ def test_line_stage(stages):
     before = {r["doc_id"]: r["text"] or "" for r in plain(stages[1])}
     gone = brute_runs(before.items(), 50)
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]) for i, t in before.items()}
+    lines = {i: t for i, t in want.items() if t.strip() or not gone[i, before[i]]}
+    passages = {i: x for (i, _), x in brute_passages(lines.items(), 50).items()}
     got = {r["doc_id"]: r["text"] for r in plain(stages[2])}
-    assert got == {i: t for i, t in want.items() if t.strip() or not gone[i, before[i]]}
+    assert got == {i: t for i, (t, changed) in passages.items() if t.strip() or not changed} != lines
     assert all(r["n_chars"] == len(r["text"]) for r in plain(stages[2]))
 
 
